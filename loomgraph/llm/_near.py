@@ -125,14 +125,18 @@ def forest(n: int, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def in_cells(members: DataFrame, make: Callable[[str], np.ndarray], similarity: float, block_members: int = BLOCK_MEMBERS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """u, v, links, weighted for members (cid, comp, n, copies, text): a row (cid, null, links, weighted) with the number of
-    classes linked in a cell, and of their copies, and a row (u, v, 0, 0) per edge of the cell's spanning forest."""
-    size = members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("members") / block_members), F.ceil(F.col("elements") / block_elements)).cast("int")
-    cells = members.join(size.select(F.col("comp").alias("_comp"), blocks.alias("blocks")), F.col("comp") == F.col("_comp"))
+def with_blocks(members: DataFrame, block_members: int = BLOCK_MEMBERS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Adds to members (cid, comp, n: set size, any more columns) the number of blocks that their component is cut into."""
+    size = members.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("_members"), F.sum("n").alias("_elements"))
+    blocks = F.greatest(F.ceil(F.col("_members") / block_members), F.ceil(F.col("_elements") / block_elements)).cast("int")
+    return members.join(size, F.col("comp") == F.col("_comp")).withColumn("blocks", blocks).drop("_comp", "_members", "_elements")
+
+
+def in_cells(members: DataFrame, make: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+    """u, v, links, weighted for members (cid, comp, blocks, copies, text): a row (cid, null, links, weighted) with the number
+    of classes linked in a cell, and of their copies, and a row (u, v, 0, 0) per edge of the cell's spanning forest."""
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    cells = cells.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block"), "cid", "copies", "text")
 
     def run(batches):

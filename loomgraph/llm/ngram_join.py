@@ -87,9 +87,9 @@ def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, r
     # copies are put together first: a class has one row, whatever its number of copies
     one = scratch.keep(signed.where("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "th")).alias("of")), "classes-of-copies")
     found = _near.candidates(one.select(F.explode("bands").alias("band"), "cid"), scratch)
-    wanted = one.join(found, "cid").select("cid", "comp", "n", "copies", "of")
-    members = view.join(wanted, view["_key"] == wanted["of"]).select("cid", "comp", "n", "copies", "text")
-    linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity, **cells), scratch)
+    wanted = _near.with_blocks(one.join(found, "cid").select("cid", "comp", "n", "copies", "of"), **cells)
+    members = view.join(wanted, view["_key"] == wanted["of"]).select("cid", "comp", "blocks", "copies", "text")
+    linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity), scratch)
     named = one.join(linked, "cid", "left").select("cid", "copies", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("weighted", F.lit(0)).alias("weighted"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = named.join(least, "root").select(F.col("cid").alias("_cid"), "class_id", F.col("links").alias("n_text_links"), (F.col("weighted") + F.col("copies") - 1).alias("n_links"))
