@@ -3,11 +3,12 @@
 from loomgraph.llm.decontaminate import op7_decontamination
 from loomgraph.llm.lengths import op1_token_counts
 from loomgraph.llm.line_dedup import op3_line_dedup
+from loomgraph.llm.lm_scoring import op10_lm_scoring
 from loomgraph.llm.ngram_join import op4_ngram_jaccard_join
 from loomgraph.llm.packing import op6_best_fit_packing
 from loomgraph.llm.quality import op8_quality_rules
 from loomgraph.llm.substrings import op9_substring_dedup
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_line_dedup, op4_ngram_jaccard_join, op6_best_fit_packing, op7_decontamination, op8_quality_rules, op9_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_line_dedup, op4_ngram_jaccard_join, op6_best_fit_packing, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {}
