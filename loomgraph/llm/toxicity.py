@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from loomgraph.llm._base import Scratch, sliced
 
 #: Labelled texts of either kind that training takes at most.
-MOST = 4000
-LANDMARKS, WITNESSES, OTHERS, LETTERS = 160, 3000, 12_000, 60
+MOST = 8000
+LANDMARKS, WITNESSES, OTHERS, LETTERS = 320, 3000, 15_000, 40
 DECAY, REACH = 0.7, 8
 #: How much likelier than chance (a log likelihood ratio) a word's share of toxic texts must be for it to mark them.
 EVIDENCE = 10.0
+COST, MINED = 3.0, 3
 CACHE_WORDS = 400_000
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -110,8 +111,10 @@ class Kernel:
         for at, triple, weight in self.triples(codes, first):
             if weights.ndim == 1:
                 out += np.bincount(owner[at], weights[triple], len(words)) * weight
-            else:
-                np.add.at(out, owner[at], weights[triple] * weight)
+            elif len(at):
+                own = owner[at]  # in order
+                cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                out[own[cut]] += np.add.reduceat(weights[triple], cut) * weight
         return out / self.norms(np.diff(first)).reshape(-1, *[1] * (weights.ndim - 1))
 
 
@@ -197,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     share = n[1] / (n[0] + n[1])
     counted = scratch.keep(seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "words")
     proof = evidence(F.col("t"), F.col("c"), share)
-    witnesses = [r["word"] for r in counted.where(proof > EVIDENCE).orderBy(F.desc(proof), "word").limit(WITNESSES).collect()]
+    found = counted.where(proof > EVIDENCE).orderBy(F.desc(proof), "word").limit(WITNESSES).select("word", "t").collect()
+    witnesses, often = [r["word"] for r in found], np.array([r["t"] for r in found])
     if not witnesses:
         return Model(None, None, 0.0, 0.0, 0.0)
     clean = counted.where((F.col("c") > 0) & (proof <= 0))
@@ -207,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
         for ch in w:
             letters[ch] = letters.get(ch, 0) + 1
     kernel = Kernel("".join(sorted(letters, key=lambda ch: (-letters[ch], ch))[:LETTERS]))
-    landmarks = witnesses[: LANDMARKS * 3 // 4] + plain[: LANDMARKS // 4]
+    part = LANDMARKS // 4  # the best witnesses, some of all others, and clean words
+    landmarks = witnesses[: 2 * part] + witnesses[2 * part :: max(1, len(witnesses) // part)][:part] + plain[:part]
     z = kernel.features(landmarks)
     values, vectors = np.linalg.eigh((z @ z.T).astype(float))
     keep = values > 1e-6 * values.max()
@@ -215,16 +220,18 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     basis = (z.T @ whiten).astype(np.float32)  # triples x features
     model = Model(kernel, None, 0.0, 1.0, 0.0)
     hard: list[str] = []
-    for again in range(2):  # the second time with the clean words that the first took for bad ones
+    x = _blocks(kernel, witnesses + plain, basis)
+    fixed = len(x)
+    for again in range(1 + MINED):  # again with the clean words that were taken for bad ones, or nearly so
         negative = plain + hard
-        x = np.concatenate([_blocks(kernel, witnesses, basis), _blocks(kernel, negative, basis)])
+        x = np.concatenate([x, _blocks(kernel, hard[len(x) - fixed :], basis)])
         y = np.append(np.ones(len(witnesses)), -np.ones(len(negative)))
-        weight = np.append(np.full(len(witnesses), 0.5 * len(y) / len(witnesses)), np.full(len(negative), 0.5 * len(y) / len(negative)))
-        w, bias = svm(x, y, weight, c=0.1)
+        weight = np.append(0.5 * len(y) * often / often.sum(), np.full(len(negative), 0.5 * len(y) / len(negative)))
+        w, bias = svm(x, y, weight, c=COST)
         model.weights, model.bias = (basis @ w).astype(float), bias
-        if not again:
-            worst = _decided(clean.select("word"), model).orderBy(F.desc("value"), "word").limit(OTHERS // 2)
-            hard = [r["word"] for r in worst.where("value > -0.5").collect()]
+        if again < MINED:
+            worst = _decided(clean.select("word"), model).where("value > -0.8").orderBy(F.desc("value"), "word").limit(OTHERS // 3)
+            hard += [r["word"] for r in worst.collect() if r["word"] not in set(hard)]
     scores = sample_worst(sample, model)
     got = [(r["worst"], r["toxic"]) for r in scores.select("worst", "toxic").collect()]  # two numbers a sampled text
     model.slope, model.shift = logistic(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got]))
@@ -232,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
 
 
 def _blocks(kernel: Kernel, words: list[str], basis: np.ndarray) -> np.ndarray:
-    return np.concatenate([kernel.products(words[k : k + 1000], basis) for k in range(0, len(words), 1000)])
+    return np.concatenate([kernel.products(words[k : k + 500], basis) for k in range(0, len(words), 500)] or [np.zeros((0, basis.shape[1]))])
 
 
 def _decided(words: DataFrame, model: Model) -> DataFrame:
