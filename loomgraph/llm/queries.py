@@ -1,5 +1,6 @@
 """The queries of this subpackage, one per operator, and the SQL of those that SQL can express."""
 
+import corpus_pipeline
 from loomgraph.llm.decontaminate import op7_decontamination
 from loomgraph.llm.lengths import op1_token_counts
 from loomgraph.llm.line_dedup import op3_line_dedup
@@ -12,5 +13,6 @@ from loomgraph.llm.toxicity import op2_toxicity
 from loomgraph.llm.warc import op5_warc
 
 QUERIES = {q.__name__: q for q in (op1_token_counts, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_warc, op6_best_fit_packing, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_lm_scoring)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

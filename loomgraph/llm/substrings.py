@@ -4,8 +4,8 @@ A window is `window` consecutive words. Of the word groups (`minimiser` words) i
 minimiser; consecutive windows that share one form a super-k-mer. Equal windows have equal minimisers, so
 1. minimisers are counted, and only super-k-mers whose minimiser occurs more than once go on;
 2. each of these travels as one packed string to the bucket of its minimiser, where sorting counts its windows exactly;
-3. a minimiser with over `hot` occurrences would fill one bucket: its windows go to buckets of their own content, and are
-   counted by a partial aggregation before the shuffle;
+3. a minimiser with over `hot` occurrences would fill one bucket: its equal strings are put together before the shuffle,
+   and the windows of the different ones go to buckets of their own content;
 4. the word ranges of repeated windows return to their documents.
 
 Minimisers are compared by 64-bit hashes, which can only add candidates; windows by their words.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,33 +84,60 @@ def _packed(joined: DataFrame, window: int) -> DataFrame:
                     words = text.encode("utf-8", "surrogatepass").split()
                     for m in marks:
                         a, n = m["pos"], m["n"]
-                        if not m["hot"]:
-                            bucket.append(m["mh"])
-                            pos.append(a)
-                            packed.append(b" ".join(words[a : a + n + window - 1]))
-                        else:
-                            for i in range(a, a + n):
-                                packed.append(one := b" ".join(words[i : i + window]))
-                                bucket.append(xxhash.xxh3_64_intdigest(one) - (1 << 63))
-                                pos.append(i)
-                        more = len(packed) - len(row)
-                        hot += [m["hot"]] * more
-                        row += [k] * more
-                    if len(packed) > 20_000:
-                        yield batch_of(part, bucket, hot, row, pos, packed)
-                        bucket, hot, row, pos, packed = [], [], [], [], []
-                yield batch_of(part, bucket, hot, row, pos, packed)
-
-    def batch_of(part, bucket, hot, row, pos, packed):
-        row = pa.array(row, pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int64()), pa.array(hot, pa.bool_()), part.column(0).take(row), part.column(2).take(row), pa.array(pos, pa.int32()), pa.array(packed, pa.binary())],
-            names=["bucket", "hot", "doc_id", "th", "pos", "packed"])
+                        bucket.append(m["mh"])
+                        hot.append(m["hot"])
+                        row.append(k)
+                        pos.append(a)
+                        packed.append(b" ".join(words[a : a + n + window - 1]))
+                row = pa.array(row, pa.int32())
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(bucket, pa.int64()), pa.array(hot, pa.bool_()), part.column(0).take(row), part.column(2).take(row), pa.array(pos, pa.int32()), pa.array(packed, pa.binary())],
+                    names=["bucket", "hot", "doc_id", "th", "pos", "packed"])
+                for k in range(0, out.num_rows, 10_000):
+                    yield out.slice(k, 10_000)
 
     kind = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"bucket long, hot boolean, doc_id {kind}, th long, pos int, packed binary")
 
 
+def cuts_of(packed: bytes) -> list[int]:
+    """Where each word of a packed string begins, and where one more would."""
+    cuts = [0]
+    while (at := packed.find(b" ", cuts[-1])) >= 0:
+        cuts.append(at + 1)
+    cuts.append(len(packed) + 1)
+    return cuts
+
+
+def _hot(packed: DataFrame, window: int) -> DataFrame:
+    """Ranges for super-k-mers of minimisers that occur too often for one bucket. Equal strings are put together before the
+    shuffle; a string that comes twice repeats as a whole. The windows of the different strings go to buckets of their own
+    content, where their counts are summed, and only those in strings that come once return to them."""
+    single = packed.where("hot").select("doc_id", "th", "pos", "packed", F.md5("packed").alias("sid"))
+    strings = single.groupBy("packed").agg(F.count("*").alias("c"))
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced([batch], "packed"):
+                one, row, at = [], [], []
+                for k, p in enumerate(part.column(0).to_pylist()):
+                    cuts = cuts_of(p)
+                    for i in range(len(cuts) - window):
+                        one.append(p[cuts[i] : cuts[i + window] - 1])
+                        row.append(k)
+                        at.append(i)
+                row = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), part.column(1).take(row), part.column(2).take(row), pa.array(at, pa.int32())], names=["one", "c", "sid", "i"])
+
+    windows = strings.select("packed", "c", F.md5("packed").alias("sid")).mapInArrow(run, "one binary, c long, sid string, i int")
+    again = windows.groupBy("one").agg(F.sum("c").alias("n"), F.min("c").alias("least")).where("n > 1 and least = 1").select(F.col("one").alias("_one"))
+    parts = windows.where("c = 1").join(again, F.col("one") == F.col("_one")).groupBy("sid").agg(F.collect_list(F.struct(F.col("i").alias("s"), (F.col("i") + window).alias("e"))).alias("ranges"))
+    words = F.size(F.split(F.col("packed").cast("string"), " "))
+    whole = strings.where("c > 1").select(F.md5("packed").alias("sid"), F.array(F.struct(F.lit(0).alias("s"), words.alias("e"))).alias("ranges"))
+    found = whole.unionByName(parts).withColumnRenamed("sid", "_sid")
+    return single.join(found, F.col("sid") == F.col("_sid")).select("doc_id", "th", "pos", F.inline("ranges")).select("doc_id", "th", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
+
+
 def repeated_in_bucket(packed: list[bytes], window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """For each string of a bucket, the word ranges [start, end) of those of its windows that the bucket holds more than once."""
     copies: dict[bytes, int] = {}
@@ -121,10 +147,7 @@ def repeated_in_bucket(packed: list[bytes], window: int = WINDOW) -> list[list[t
     if len(copies) > 1:
         every = []
         for p in copies:
-            cuts = [0]
-            while (at := p.find(b" ", cuts[-1])) >= 0:
-                cuts.append(at + 1)
-            cuts.append(len(p) + 1)
+            cuts = cuts_of(p)
             every += [(p[cuts[i] : cuts[i + window] - 1], p, i) for i in range(len(cuts) - window)]
         every.sort()
         found: dict[bytes, list[int]] = {}
@@ -170,9 +193,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     marks = _minimisers(docs, window, minimiser, True).join(counts, "mh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n", "mh", "hot")).alias("marks")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th")
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (docs["th"] == marks["_th"])).select("doc_id", "text", "th", "marks")
     packed = scratch.keep(_packed(joined, window), "packed")
-    single = packed.where("hot")
-    again = single.groupBy("packed").agg(F.count("*").alias("c")).where("c > 1").select("packed")
-    ranges = _cold(packed, window).unionByName(single.join(again, "packed").select("doc_id", "th", F.col("pos").alias("s"), (F.col("pos") + window).alias("e")))
+    ranges = _cold(packed, window).unionByName(_hot(packed, window))
     return ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
 
 
