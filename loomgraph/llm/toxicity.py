@@ -151,14 +151,13 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """slope and shift of a curve through 0/1 marks; a weak prior keeps it finite, and both kinds weigh alike."""
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    """slope and shift of a curve through 0/1 marks, each of which weighs alike; a weak prior keeps it finite."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + 0.05 * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2)
+        grad = a.T @ (p - y) + 0.05 * w
+        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-9:
