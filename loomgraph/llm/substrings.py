@@ -25,6 +25,8 @@ from loomgraph.llm._base import Scratch, docs_view, runs, sliced, utf8
 from loomgraph.llm._words import ngram_hashes, spans, window_hashes
 
 WINDOW, MINIMISER, HOT = 35, 5, 10_000
+#: Occurrences of a hot string that travel in one row.
+SPREAD = 16
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -75,29 +77,27 @@ def _minimisers(docs: DataFrame, window: int, minimiser: int, with_place: bool)
 
 
 def _packed(joined: DataFrame, window: int) -> DataFrame:
-    """bucket, hot, doc_id, th, pos and packed (words parted by single spaces) from rows with text and their super-k-mers."""
+    """bucket, hot, packed (words parted by single spaces) and occ (array of doc_id, th, pos) from rows with text and their
+    super-k-mers. A chunk's equal strings are one row, so a string that very many documents share is a row per chunk."""
     def run(batches):
         for batch in batches:
             for part in sliced([batch]):
-                bucket, hot, row, pos, packed = [], [], [], [], []
+                held: dict[tuple[int, bool, bytes], tuple[list[int], list[int]]] = {}
                 for k, (text, marks) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist())):
                     words = text.encode("utf-8", "surrogatepass").split()
                     for m in marks:
-                        a, n = m["pos"], m["n"]
-                        bucket.append(m["mh"])
-                        hot.append(m["hot"])
-                        row.append(k)
-                        pos.append(a)
-                        packed.append(b" ".join(words[a : a + n + window - 1]))
-                row = pa.array(row, pa.int32())
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int64()), pa.array(hot, pa.bool_()), part.column(0).take(row), part.column(2).take(row), pa.array(pos, pa.int32()), pa.array(packed, pa.binary())],
-                    names=["bucket", "hot", "doc_id", "th", "pos", "packed"])
+                        rows, at = held.setdefault((m["mh"], m["hot"], b" ".join(words[m["pos"] : m["pos"] + m["n"] + window - 1])), ([], []))
+                        rows.append(k)
+                        at.append(m["pos"])
+                row = pa.array([k for rows, _ in held.values() for k in rows], pa.int32())
+                each = pa.StructArray.from_arrays([part.column(0).take(row), part.column(2).take(row), pa.array([p for _, at in held.values() for p in at], pa.int32())], ["doc_id", "th", "pos"])
+                occ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(rows) for rows, _ in held.values()])), pa.int32()), each)
+                out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.bool_()), pa.array([x[2] for x in held], pa.binary()), occ], names=["bucket", "hot", "packed", "occ"])
                 for k in range(0, out.num_rows, 10_000):
                     yield out.slice(k, 10_000)
 
     kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"bucket long, hot boolean, doc_id {kind}, th long, pos int, packed binary")
+    return joined.mapInArrow(run, f"bucket long, hot boolean, packed binary, occ array<struct<doc_id: {kind}, th: long, pos: int>>")
 
 
 def cuts_of(packed: bytes) -> list[int]:
@@ -113,8 +113,8 @@ def _hot(packed: DataFrame, window: int) -> DataFrame:
     """Ranges for super-k-mers of minimisers that occur too often for one bucket. Equal strings are put together before the
     shuffle; a string that comes twice repeats as a whole. The windows of the different strings go to buckets of their own
     content, where their counts are summed, and only those in strings that come once return to them."""
-    single = packed.where("hot").select("doc_id", "th", "pos", "packed", F.md5("packed").alias("sid"))
-    strings = single.groupBy("packed").agg(F.count("*").alias("c"))
+    single = packed.where("hot")
+    strings = single.groupBy("packed").agg(F.sum(F.size("occ")).alias("c"))
 
     def run(batches):
         for batch in batches:
@@ -135,7 +135,11 @@ def _hot(packed: DataFrame, window: int) -> DataFrame:
     words = F.size(F.split(F.col("packed").cast("string"), " "))
     whole = strings.where("c > 1").select(F.md5("packed").alias("sid"), F.array(F.struct(F.lit(0).alias("s"), words.alias("e"))).alias("ranges"))
     found = whole.unionByName(parts).withColumnRenamed("sid", "_sid")
-    return single.join(found, F.col("sid") == F.col("_sid")).select("doc_id", "th", "pos", F.inline("ranges")).select("doc_id", "th", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
+    # rows of a chunk's equal strings meet their ranges; cut into short lists and dealt out evenly, they become a row per document
+    lists = F.explode(F.transform(F.sequence(F.lit(0), F.size("occ") - 1, F.lit(SPREAD)), lambda k: F.slice("occ", k + 1, F.lit(SPREAD)))).alias("occ")
+    met = single.select(F.md5("packed").alias("sid"), "occ").join(found, F.col("sid") == F.col("_sid")).select("ranges", lists)
+    spread = met.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("ranges", F.inline("occ")).select("doc_id", "th", "pos", F.inline("ranges"))
+    return spread.select("doc_id", "th", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
 
 
 def repeated_in_bucket(packed: list[bytes], window: int = WINDOW) -> list[list[tuple[int, int]]]:
@@ -168,20 +172,23 @@ def repeated_in_bucket(packed: list[bytes], window: int = WINDOW) -> list[list[t
 def _cold(packed: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for group in runs(batches, ["bucket"]):
-            if group.num_rows < 2:
+            occ = group.column("occ").combine_chunks()
+            times = np.diff(occ.offsets.to_numpy())
+            if times.sum() < 2:
                 continue
-            row, a, b = [], [], []
-            pos = group.column("pos").to_pylist()
-            for k, ranges in enumerate(repeated_in_bucket(group.column("packed").to_pylist(), window)):
+            each, row, a, b = occ.flatten(), [], [], []
+            pos = each.field("pos").to_pylist()
+            strings = [p for p, n in zip(group.column("packed").to_pylist(), times.tolist()) for _ in range(n)]
+            for k, ranges in enumerate(repeated_in_bucket(strings, window)):
                 for s, e in ranges:
                     row.append(k)
                     a.append(pos[k] + s)
                     b.append(pos[k] + e)
             if row:
                 at = pa.array(row, pa.int32())
-                yield from pa.table([group.column("doc_id").take(at), group.column("th").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "th", "s", "e"]).combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([each.field("doc_id").take(at), each.field("th").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "th", "s", "e"])
 
-    kind = packed.schema["doc_id"].dataType.simpleString()
+    kind = packed.schema["occ"].dataType.elementType["doc_id"].dataType.simpleString()
     return packed.where("not hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc_id {kind}, th long, s int, e int")
 
 
