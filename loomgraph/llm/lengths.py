@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._base import sliced
+from loomgraph.llm._base import Scratch, sliced
 from loomgraph.llm._tokens import default_path, encode
 
 #: Lengths per block of the two-level sums, so that no task holds all lengths.
@@ -66,4 +66,6 @@ def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    # the sums read the histogram twice: it is written, so the texts are encoded once
+    hist = histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return suffix_sums(Scratch(spark, "lengths").keep(hist, "histogram"))
