@@ -12,8 +12,8 @@ import os
 import re
 from array import array
 
-#: Words whose ids a worker keeps; rarer ones that come later are looked up for their own batch only.
-CACHE_WORDS = 500_000
+#: Words whose ids a task keeps (some 200 bytes each); rarer ones that come later are looked up each time.
+CACHE_WORDS = 200_000
 #: The word pattern that the fast path knows; a file with another one takes the general path.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER, _NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -94,3 +94,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return list(map(_loaded[path].encode, texts))
+
+
+def forget() -> None:
+    """Ends a task: its words go, as the worker lives on under other work; the tokenizers stay."""
+    for encoder in _loaded.values():
+        encoder.known.clear()
+        encoder.words.clear()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._base import Scratch, sliced
-from loomgraph.llm._tokens import default_path, encode
+from loomgraph.llm._tokens import default_path, encode, forget
 
 #: Lengths per block of the two-level sums, so that no task holds all lengths.
 BLOCK = 1024
@@ -23,6 +23,7 @@ def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(batch.column(0).to_pylist(), path)], pa.int64())], names=["length"])
+        forget()
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "length long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._base import Scratch, sliced
-from loomgraph.llm._tokens import default_path, encode
+from loomgraph.llm._tokens import default_path, encode, forget
 
 SIZE, END = 4096, 1
 #: Pieces of one length that are ranked together.
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(where, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"])
+        forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
