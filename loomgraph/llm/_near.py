@@ -43,22 +43,35 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def chain(bands: DataFrame) -> DataFrame:
-    """Edges u, v that connect all members of each bucket, from band and cid (longs).
+#: What `combined` makes.
+SENT = "key long, cid long, to long"
 
-    A batch links its own members of a bucket before the shuffle and sends one of them on, so a bucket that very many
-    rows share sends a row per batch; the rows of a bucket then stream by in order, and neighbours are linked."""
-    def combine(batches):
+
+def combined(band: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+    """A batch's own members of a bucket linked before the shuffle, and one of them to send on: so a bucket that very many
+    rows share sends a row per batch."""
+    order = np.lexsort((cid, band))
+    band, cid = band[order], cid[order]
+    same = np.append(False, band[1:] == band[:-1])
+    linked = np.flatnonzero(same & np.append(False, cid[1:] != cid[:-1]))
+    key, one = np.append(band[~same], cid[linked]), np.append(cid[~same], cid[linked])
+    to = pa.array(np.append(np.zeros((~same).sum(), np.int64), cid[linked - 1]), mask=np.arange(len(key)) < (~same).sum())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(one), to], names=["key", "cid", "to"])
+
+
+def combine(bands: DataFrame) -> DataFrame:
+    """`combined` batches of band and cid (longs)."""
+    def run(batches):
         for batch in batches:
-            band, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((cid, band))
-            band, cid = band[order], cid[order]
-            same = np.append(False, band[1:] == band[:-1])
-            linked = np.flatnonzero(same & np.append(False, cid[1:] != cid[:-1]))
-            key, one = np.append(band[~same], cid[linked]), np.append(cid[~same], cid[linked])
-            to = pa.array(np.append(np.zeros((~same).sum(), np.int64), cid[linked - 1]), mask=np.arange(len(key)) < (~same).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one), to], names=["key", "cid", "to"])
+            if batch.num_rows:
+                yield combined(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    return bands.select("band", "cid").mapInArrow(run, SENT)
+
 
+def chain(sent: DataFrame) -> DataFrame:
+    """Edges u, v that connect all members of each bucket, from `combined` batches: the rows of a bucket stream by in order,
+    and neighbours are linked."""
     def run(batches):
         last = None
         for batch in batches:
@@ -76,7 +89,6 @@ def chain(bands: DataFrame) -> DataFrame:
             if same.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cid[1:][same]), pa.array(cid[:-1][same])], names=["u", "v"])
 
-    sent = bands.select("band", "cid").mapInArrow(combine, "key long, cid long, to long")
     return sent.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "u long, v long")
 
 
@@ -117,11 +129,14 @@ def forest(n: int, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for a, b in zip(one.tolist(), two.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
+    for k in range(0, len(one), 20_000):  # pairs that are together already go as arrays
+        root, a, b = np.array([find(x) for x in range(n)]), one[k : k + 20_000], two[k : k + 20_000]
+        apart = root[a] != root[b]
+        for a, b in zip(a[apart].tolist(), b[apart].tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((a, b))
     return out
 
 
@@ -171,9 +186,9 @@ def in_cells(members: DataFrame, make: Callable[[str], np.ndarray], similarity:
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, links long, weighted long")
 
 
-def candidates(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """cid and comp of every member that shares a bucket with another one; bands: band, cid."""
-    return scratch.keep(components(chain(bands), scratch, "candidates").select(F.col("id").alias("cid"), F.col("root").alias("comp")), "candidates")
+def candidates(sent: DataFrame, scratch: Scratch) -> DataFrame:
+    """cid and comp of every member that shares a bucket with another one; sent: `combined` batches."""
+    return scratch.keep(components(chain(sent), scratch, "candidates").select(F.col("id").alias("cid"), F.col("root").alias("comp")), "candidates")
 
 
 def classes(verified: DataFrame, scratch: Scratch) -> DataFrame:

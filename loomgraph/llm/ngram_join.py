@@ -86,7 +86,7 @@ def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, r
     signed = scratch.keep(signatures(view, n, bands, rows), "signatures")
     # copies are put together first: a class has one row, whatever its number of copies
     one = scratch.keep(signed.where("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "th")).alias("of")), "classes-of-copies")
-    found = _near.candidates(one.select(F.explode("bands").alias("band"), "cid"), scratch)
+    found = _near.candidates(_near.combine(one.select(F.explode("bands").alias("band"), "cid")), scratch)
     wanted = _near.with_blocks(one.join(found, "cid").select("cid", "comp", "n", "copies", "of"), **cells)
     members = view.join(wanted, view["_key"] == wanted["of"]).select("cid", "comp", "blocks", "copies", "text")
     linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity), scratch)
