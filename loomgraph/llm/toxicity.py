@@ -36,7 +36,10 @@ DECAY, REACH = 0.7, 8
 #: How much likelier than chance (a log likelihood ratio) a word's share of toxic texts must be for it to mark them.
 EVIDENCE = 10.0
 COST, MINED = 3.0, 3
-CACHE_WORDS = 400_000
+#: Words whose decisions a task keeps.
+CACHE_WORDS = 200_000
+#: Rows that the machine's training takes up at once.
+SVM_ROWS = 4096
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
@@ -101,7 +104,8 @@ class Kernel:
         owner = np.repeat(np.arange(len(words)), np.diff(first))
         for at, triple, weight in self.triples(codes, first):
             np.add.at(out, (owner[at], triple), np.float32(weight))
-        return out / self.norms(np.diff(first))[:, None].astype(np.float32)
+        out /= self.norms(np.diff(first))[:, None].astype(np.float32)
+        return out
 
     def products(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Scaled features of words times weights (triples, or triples x columns)."""
@@ -138,12 +142,18 @@ class Model:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on its active rows. y: 1 and -1."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w, ridge = np.zeros(x1.shape[1]), np.append(np.ones(x.shape[1]), 1e-3)
+    w, ridge = np.zeros(x.shape[1] + 1), np.append(np.ones(x.shape[1]), 1e-3)
     for _ in range(rounds):
-        active = y * (x1 @ w) < 1
-        a = x1[active] * (c * weight[active])[:, None]
-        new = np.linalg.solve(np.diag(ridge) + a.T @ x1[active], a.T @ y[active])
+        left, right = np.diag(ridge), np.zeros(len(ridge))
+        for k in range(0, len(x), SVM_ROWS):
+            part = np.column_stack([x[k : k + SVM_ROWS].astype(float), np.ones(len(x[k : k + SVM_ROWS]))])
+            mark = y[k : k + SVM_ROWS]
+            active = mark * (part @ w) < 1
+            part = part[active]
+            a = part * (c * weight[k : k + SVM_ROWS][active])[:, None]
+            left += a.T @ part
+            right += a.T @ mark[active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -216,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     values, vectors = np.linalg.eigh((z @ z.T).astype(float))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    basis = (z.T @ whiten).astype(np.float32)  # triples x features
+    basis = z.T @ whiten.astype(np.float32)  # triples x features
+    del z
     model = Model(kernel, None, 0.0, 1.0, 0.0)
     hard: list[str] = []
     x = _blocks(kernel, witnesses + plain, basis)
@@ -227,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
         y = np.append(np.ones(len(witnesses)), -np.ones(len(negative)))
         weight = np.append(0.5 * len(y) * often / often.sum(), np.full(len(negative), 0.5 * len(y) / len(negative)))
         w, bias = svm(x, y, weight, c=COST)
-        model.weights, model.bias = (basis @ w).astype(float), bias
+        model.weights, model.bias = (basis @ w.astype(np.float32)).astype(float), bias
         if again < MINED:
             worst = _decided(clean.select("word"), model).where("value > -0.8").orderBy(F.desc("value"), "word").limit(OTHERS // 3)
             hard += [r["word"] for r in worst.collect() if r["word"] not in set(hard)]
@@ -238,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
 
 
 def _blocks(kernel: Kernel, words: list[str], basis: np.ndarray) -> np.ndarray:
-    return np.concatenate([kernel.products(words[k : k + 500], basis) for k in range(0, len(words), 500)] or [np.zeros((0, basis.shape[1]))])
+    return np.concatenate([kernel.products(words[k : k + 500], basis).astype(np.float32) for k in range(0, len(words), 500)] or [np.zeros((0, basis.shape[1]), np.float32)])
 
 
 def _decided(words: DataFrame, model: Model) -> DataFrame:
@@ -282,6 +293,7 @@ def sample_worst(rows: DataFrame, model: Model) -> DataFrame:
         for batch in sliced(batches):
             worst = worst_of(batch.column(len(others)).to_pylist(), shared.value, key)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(worst, pa.float64())], names=[*others, "worst"])
+        _known.clear()  # the worker lives on under other work
 
     plain = rows.select(*others, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "text")
