@@ -76,10 +76,10 @@ def signatures(view: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, scratch: Scratch | None = None, **cells) -> DataFrame:
-    """doc_id, th, class_id, n_links and n_text_links of each row.
+    """doc_id, th, root, class_id, n_links and n_text_links of each row.
 
-    class_id is the least doc_id of the row's group of linked texts and their copies (null only if no row of it has an
-    id); n_text_links counts the different texts that it is similar to, n_links the other rows, copies among them."""
+    root tells the groups of linked texts and their copies apart (null: no n-grams). class_id is the least doc_id of the
+    row's group (null only if no row of it has an id), which unlike groups may share; n_text_links counts the different texts that it is similar to, n_links the other rows, copies among them."""
     bands = _near.choose_bands(similarity, recall, rows)
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     view = docs_view(docs).withColumn("_key", F.struct("doc_id", "th"))
@@ -92,9 +92,9 @@ def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, r
     linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity), scratch)
     named = one.join(linked, "cid", "left").select("cid", "copies", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("weighted", F.lit(0)).alias("weighted"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "root").select(F.col("cid").alias("_cid"), "class_id", F.col("links").alias("n_text_links"), (F.col("weighted") + F.col("copies") - 1).alias("n_links"))
+    named = named.join(least, "root").select(F.col("cid").alias("_cid"), "root", "class_id", F.col("links").alias("n_text_links"), (F.col("weighted") + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "th", "cid").join(named, F.col("cid") == F.col("_cid"), "left")
-    return out.select("doc_id", "th", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.col("cid").isNull().alias("alone"))
+    return out.select("doc_id", "th", "root", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.col("cid").isNull().alias("alone"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -102,7 +102,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     such rows the one with the least text hash. Rows without n-grams all stay."""
     judged = ngram_classes(docs, **how)
     key = F.struct("doc_id", "th").alias("_kept")
-    chosen = judged.where("not alone").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    chosen = judged.where("not alone").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     stay = chosen.select(F.struct("k.doc_id", "k.th").alias("_kept"), F.lit(False).alias("_alone")).unionByName(judged.where("alone").select(key, F.lit(True).alias("_alone")).distinct())
     keyed = docs.withColumn("_key", F.struct("doc_id", text_key()))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # equal rows: only one of them
@@ -111,4 +111,4 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return ngram_classes(docs).select("doc_id", "class_id", "n_links", "n_text_links")
+    return ngram_classes(docs).select("doc_id", "root", "class_id", "n_links", "n_text_links")

@@ -83,6 +83,16 @@ def test_odd_rows(spark):
     assert j.ngram_classes(none(spark)).count() == 0 and j.keep_one(none(spark)).count() == 0
 
 
+def test_unlike_groups_of_one_id(spark):
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    docs = spark.createDataFrame([(None, one), (None, one), (None, two), (7, three), (7, four), (7, four), (8, three)], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in j.keep_one(docs).collect()), key=repr) == sorted([(None, one), (None, two), (7, three), (7, four)], key=repr)
+    roots = {}
+    for r in j.ngram_classes(docs).collect():
+        roots.setdefault(r["root"], []).append(r["class_id"])
+    assert sorted(roots.values(), key=repr) == [[7, 7], [7, 7], [None, None], [None]]
+
+
 def test_components(spark):
     from loomgraph.llm._base import Scratch
     from loomgraph.llm.components import components
