@@ -9,7 +9,8 @@ word costs nothing that grows with the landmarks. A sentence scores as its worst
 and a logistic curve fitted on the labelled texts turns that into a score.
 
 Training takes at most `most` labelled texts of either kind, the first by a hash of their ids; everything else covers all
-rows.
+rows. The curve weighs a sampled text by the texts of its kind that it stands for, so its scores follow the share of toxic
+texts among all labelled ones.
 
 Defined results: null, empty and letterless texts have no words and get the score of a text without bad words; labels
 that are null are no labels, and a text with several counts as toxic if one says so; without labels of both kinds the
@@ -160,14 +161,15 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """slope and shift of a curve through 0/1 marks, each of which weighs alike; a weak prior keeps it finite."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
+    """slope and shift of a curve through 0/1 marks (weight None: all alike); a weak prior keeps it finite."""
     a = np.column_stack([x, np.ones(len(x))])
+    weight = np.ones(len(x)) if weight is None else weight * len(x) / weight.sum()
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 0.05 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2)
+        grad = a.T @ (weight * (p - y)) + 0.05 * w
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-9:
@@ -188,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     scratch = scratch or Scratch(spark, "toxicity")
     marks = labels.where("doc_id is not null and toxic is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    every = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     ids = F.broadcast(some[0].union(some[1]).select("doc_id", "toxic"))  # at most 2 * most rows
     sample = scratch.keep(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id"), "sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
@@ -244,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
             hard += [r["word"] for r in worst.collect() if r["word"] not in set(hard)]
     scores = sample_worst(sample, model)
     got = [(r["worst"], r["toxic"]) for r in scores.select("worst", "toxic").collect()]  # two numbers a sampled text
-    model.slope, model.shift = logistic(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got]))
+    stands_for = [max(1.0, every[k] / most) for k in (0, 1)]  # labelled texts of its kind for each sampled one
+    model.slope, model.shift = logistic(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got]), np.array([stands_for[g[1]] for g in got]))
     return model
 
 

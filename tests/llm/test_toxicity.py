@@ -65,6 +65,15 @@ def test_held_out_accuracy(spark):
     assert right / len(rows) > 0.9 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_scores_follow_the_share_of_all_labels(spark):
+    rng = random.Random(4)
+    docs, labels = made(rng, 800)
+    docs = [(k, x if rng.random() < 0.5 else x.replace("wortless", "rest").replace("scumbag", "tame").replace("grobble", "near")) for k, x in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = t.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), ~t.held_out(), most=100)
+    assert 0.15 < np.mean([r["score"] for r in t.score(df, model).collect()]) < 0.35  # a quarter is toxic, half of the sample
+
+
 def test_odd_rows(spark):
     docs, labels = made(random.Random(2), 300)
     marks = spark.createDataFrame([*labels, (None, 1), (3, None), (0, 1)], "doc_id long, toxic int")
