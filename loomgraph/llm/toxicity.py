@@ -13,8 +13,8 @@ rows. The curve weighs a sampled text by the texts of its kind that it stands fo
 texts among all labelled ones.
 
 Defined results: null, empty and letterless texts have no words and get the score of a text without bad words; labels
-that are null are no labels, and a text with several counts as toxic if one says so; without labels of both kinds the
-score is 0 for all; repeated rows are scored each; an empty table gives none.
+that are null are no labels, and a text with several counts as toxic if one says so; without labels of both kinds, or
+without a word that is commoner in toxic texts, the score is 0 for all; repeated rows are scored each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from loomgraph.llm._base import Scratch, sliced
 MOST = 8000
 LANDMARKS, WITNESSES, OTHERS, LETTERS = 320, 3000, 15_000, 40
 DECAY, REACH = 0.7, 8
-#: How much likelier than chance (a log likelihood ratio) a word's share of toxic texts must be for it to mark them.
-EVIDENCE = 10.0
+#: The share of witnesses that may be so by chance (a false discovery rate), and how many of the best words stand in where no word passes.
+CHANCE, STAND_INS = 0.05, 8
 COST, MINED = 3.0, 3
 #: Words whose decisions a task keeps.
 CACHE_WORDS = 200_000
@@ -184,6 +184,12 @@ def evidence(toxic: Column, clean: Column, share: float) -> Column:
     return (part(toxic, share) + part(clean, 1 - share)) * F.when(toxic > n * share, 1).otherwise(-1)
 
 
+def passing(proof: np.ndarray, tried: int) -> int:
+    """How many of the best words pass (Benjamini and Hochberg): exp(-proof) bounds the odds that chance alone goes so far. proof: falling."""
+    good = np.flatnonzero(np.exp(-proof) * tried <= CHANCE * np.arange(1, len(proof) + 1))
+    return int(good[-1]) + 1 if len(good) else 0
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOST, scratch: Scratch | None = None) -> Model:
     """A model from the labelled rows of docs for whose doc_id may_learn holds."""
     spark = docs.sparkSession
@@ -212,9 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOS
     share = n[1] / (n[0] + n[1])
     counted = scratch.keep(seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "words")
     proof = evidence(F.col("t"), F.col("c"), share)
-    found = counted.where(proof > EVIDENCE).orderBy(F.desc(proof), "word").limit(WITNESSES).select("word", "t").collect()
+    ranked = counted.where(proof > 0).orderBy(F.desc(proof), "word").limit(WITNESSES).select("word", "t", proof.alias("proof")).collect()
+    tried = counted.where((F.col("t") + F.col("c")) * -math.log(share) >= -math.log(CHANCE)).count()  # rarer words can't pass
+    found = ranked[: passing(np.array([r["proof"] for r in ranked]), tried)] or ranked[:STAND_INS]
     witnesses, often = [r["word"] for r in found], np.array([r["t"] for r in found])
-    if not witnesses:
+    if not witnesses:  # no word is commoner in toxic texts
         return Model(None, None, 0.0, 0.0, 0.0)
     clean = counted.where((F.col("c") > 0) & (proof <= 0))
     plain = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()]

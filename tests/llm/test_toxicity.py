@@ -74,6 +74,14 @@ def test_scores_follow_the_share_of_all_labels(spark):
     assert 0.15 < np.mean([r["score"] for r in t.score(df, model).collect()]) < 0.35  # a quarter is toxic, half of the sample
 
 
+def test_few_labels(spark, sf):
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in t.op2_toxicity(spark, sf).collect() if not r["held_out"] and r["doc_id"] in toxic]
+    mean = [np.mean([r["score"] for r in rows if toxic[r["doc_id"]] == k]) for k in (0, 1)]
+    assert mean[1] > 0.5 > 0.2 > mean[0]
+    assert t.passing(np.array([9.0, 8.0, 5.0]), 100) == 2 and t.passing(np.array([]), 0) == 0
+
+
 def test_odd_rows(spark):
     docs, labels = made(random.Random(2), 300)
     marks = spark.createDataFrame([*labels, (None, 1), (3, None), (0, 1)], "doc_id long, toxic int")
