@@ -193,10 +193,12 @@ def verdicts(found: DataFrame, min_hits: int = 1, coverage: int = 20) -> DataFra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20, cut_words: int | None = None) -> DataFrame:
     """docs without contaminated documents. Others stay as they are, or with cut_words lose hit spans of at least so
     many words (the text between the span's first and last word goes)."""
-    kept = verdicts(find_spans(docs, benchmark, window), coverage=coverage).where(~F.col("contaminated"))
+    others = {c: f"_{k}" for k, c in enumerate(docs.columns) if c != "text"}  # in a struct, as they may be named like our own columns
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(k) for c, k in others.items())).alias("_row"), "text")
+    kept = verdicts(find_spans(rows, benchmark, window), coverage=coverage).where(~F.col("contaminated"))
     if cut_words:
         kept = kept.withColumn("text", F.pandas_udf(_cutter(cut_words), "string")("text", "spans"))
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col("_row").getField(others[c]).alias(c) if c in others else c for c in docs.columns))
 
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")

@@ -67,6 +67,12 @@ def test_odd_rows_and_several_automata(spark):
     assert not any(r["contaminated"] for r in d.digest(d.find_spans(odd(spark), bench.limit(0))).collect())
 
 
+def test_clashing_columns_keep_their_values(spark):
+    df = clashing(spark, ["n_words", "spans", "items", "n_hit", "n_items", "contaminated"])
+    got = d.decontaminate(df, spark.createDataFrame([], "item_id string, text string"))
+    assert got.columns == df.columns and rows(got) == rows(df)
+
+
 def test_cut(spark):
     assert d.cut("One, two. THREE four five", [[1, 3]], 2) == "One,  four five"
     assert d.cut("One, two", [[0, 1]], 2) == "One, two"
