@@ -1,326 +1,372 @@
 """Toxicity by a subsequence string kernel, a Nyström map and a linear support vector machine.
 
-The kernel of two words sums, over the letter triples that both hold in order (not only side by side), the product of their
-weights: `decay` to the power of the letters that a triple spans, at most `reach`. So gaps and inserted characters lower
-a similarity and don't end it. A word's features are its kernels with landmark words, whitened (Nyström); a support
-vector machine on them separates the words that mark labelled toxic sentences from those of clean ones. As the machine
-is linear and the kernel an inner product over triples, its decision collapses into one weight per triple, so scoring a
-word costs nothing that grows with the landmarks. A sentence scores as its worst word, a text as its worst sentence,
-and a logistic curve fitted on the labelled texts turns that into a score.
+The kernel of two windows sums, over the symbol triples that both hold in order (not only side by side), the product of their
+weights: `decay` to the power of the symbols that a triple spans, at most `reach`. So gaps and inserted characters lower
+a similarity and don't end it. A window is a word of a sentence, between two marks for its ends, with what isn't a letter
+taken out; letters that stand one by one ("b a d") make a window together, a token's longer runs of letters are windows
+beside the whole, and words of over `PIECE` letters are cut into overlapping windows. Triples are hashed into `BUCKETS`
+columns, so letters of every script count.
+
+The machine is trained on the sentences of labelled texts, whose labels belong to the texts (multiple instances). At first
+all windows of toxic texts count, each by the odds that its texts' share of toxic ones isn't chance among so many windows.
+Then, in rounds, a toxic text's worst sentence is toxic, and others of its that the machine takes for such; a sentence stands
+for itself by its worst window; clean sentences give theirs, of this round and the ones before. As a clean text must not hold
+one bad window among many, clean sentences together weigh `CLEAN` times as much as toxic ones. Features are a window's kernels
+with landmark windows, whitened (Nyström); landmarks are drawn from the labelled sentences, at first by that departure and by
+frequency, then those that most sentences are judged by. As the machine is linear and the kernel an inner product over
+triples, its decision collapses into one weight per column, so scoring a word costs nothing that grows with the landmarks.
+
+A text's score is a logistic curve of its two worst windows and the logarithm of the number of its tokens. The curve is
+fitted on a quarter of the sampled texts, which the machine doesn't see.
 
 Training takes at most `most` labelled texts of either kind, the first by a hash of their ids; everything else covers all
 rows. The curve weighs a sampled text by the texts of its kind that it stands for, so its scores follow the share of toxic
 texts among all labelled ones.
 
-Defined results: null, empty and letterless texts have no words and get the score of a text without bad words; labels
-that are null are no labels, and a text with several counts as toxic if one says so; without labels of both kinds, or
-without a word that is commoner in toxic texts, the score is 0 for all; repeated rows are scored each; an empty table gives none.
+Defined results: null, empty and letterless texts have no windows and get the score of a text without bad words; labels
+that are null are no labels, and a text with several counts as toxic if one says so; without labelled texts of both kinds that
+hold windows the score is 0 for all; repeated rows are scored each; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm._base import Scratch, sliced
+from loomgraph.llm._words import mix
 
 #: Labelled texts of either kind that training takes at most.
-MOST = 8000
-LANDMARKS, WITNESSES, OTHERS, LETTERS = 320, 3000, 15_000, 40
-DECAY, REACH = 0.7, 8
-#: The share of witnesses that may be so by chance (a false discovery rate), and how many of the best words stand in where no word passes.
-CHANCE, STAND_INS = 0.05, 8
-COST, MINED = 3.0, 3
-#: Words whose decisions a task keeps.
-CACHE_WORDS = 200_000
-#: Rows that the machine's training takes up at once.
-SVM_ROWS = 4096
+MOST = 3000
+LANDMARKS, ROUNDS, STEPS = 256, 5, 4
+#: What a toxic text costs, and how many times as much as all toxic sentences the clean ones weigh in the rounds.
+COST, CLEAN = 10.0, 30.0
+DECAY, REACH, BUCKETS = 0.7, 8, 1 << 16
+#: Letters of a window at most.
+PIECE = 64
+#: A sampled text in so many is kept for the curve.
+FOLDS = 4
+#: Tokens whose decisions a task keeps, windows that a task takes up at once, and tasks that sum up a training step.
+CACHE_WORDS, BLOCK, TASKS = 200_000, 2048, 16
+#: Decisions beyond these say no more about a text.
+LOW, HIGH = -1.5, 2.0
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
-#: Single letters in a row, as in "b a d": one word with gaps.
+#: Single letters in a row, as in "b a d": one window with gaps.
 _SPREAD = re.compile(r"(?<!\S)[^\W\d_](?:[\W_]{1,3}[^\W\d_]){2,}(?!\S)")
-
-
-def letters_of(token: str) -> str:
-    return _NO_LETTERS.sub("", token.lower())
+_FIRST, _MIDDLE, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def tokens_of(text: str) -> list[str]:
-    """What white space parts, and spread-out words put together."""
+    """What white space parts, and spread-out letters as one token."""
     out = text.split()
     if _SPREAD.search(text):
-        out += [letters_of(m[0]) for m in _SPREAD.finditer(text)]
+        out += [_NO_LETTERS.sub("", m[0]) for m in _SPREAD.finditer(text)]
     return out
 
 
-class Kernel:
-    """Triples of letters over a fixed alphabet; letter 0 stands for all others and weighs nothing."""
-
-    def __init__(self, alphabet: str, decay: float = DECAY, reach: int = REACH):
-        self.size = len(alphabet) + 1
-        self.table = np.zeros(0x10000, np.int64)
-        for k, c in enumerate(alphabet):
-            self.table[ord(c) if ord(c) < 0x10000 else 0] = k + 1
-        self.table[0] = 0
-        self.decay, self.reach = decay, reach
-
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters end to end, and the place of each word's first (n + 1 numbers)."""
-        units = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(units < 0x10000, self.table[np.minimum(units, 0xFFFF)], 0), np.append(0, np.cumsum([len(w) for w in words])).astype(np.int64)
-
-    def triples(self, codes: np.ndarray, first: np.ndarray):
-        """(places, triple, weight) of all triples that span d2 + 1 letters with the middle one at d1, for all d1 and d2."""
-        room = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))
-        known = codes > 0
-        for d2 in range(2, self.reach):
-            at = np.flatnonzero(room > d2)
-            if not len(at):
-                return
-            at = at[known[at] & known[at + d2]]
-            ends = codes[at] * self.size * self.size + codes[at + d2]
-            for d1 in range(1, d2):
-                mid = codes[at + d1]
-                ok = mid > 0
-                yield at[ok], ends[ok] + mid[ok] * self.size, self.decay ** (d2 + 1)
-
-    def norms(self, sizes: np.ndarray) -> np.ndarray:
-        """The length of a word's feature vector if no triple comes twice; a positive scale, by which kernels are divided."""
-        total = np.zeros(len(sizes))
-        for d2 in range(2, self.reach):
-            total += np.maximum(sizes - d2, 0) * (d2 - 1) * self.decay ** (2 * (d2 + 1))
-        return np.sqrt(np.maximum(total, self.decay**6))
-
-    def features(self, words: list[str]) -> np.ndarray:
-        """Dense rows over all triples, scaled."""
-        codes, first = self.codes(words)
-        out = np.zeros((len(words), self.size**3), np.float32)
-        owner = np.repeat(np.arange(len(words)), np.diff(first))
-        for at, triple, weight in self.triples(codes, first):
-            np.add.at(out, (owner[at], triple), np.float32(weight))
-        out /= self.norms(np.diff(first))[:, None].astype(np.float32)
-        return out
+def windows_of(token: str) -> list[str]:
+    """The windows of one token: its letters together, and its runs of three letters and more if there are several runs."""
+    runs = [r for r in _NO_LETTERS.split(token.lower()) if r]
+    if not runs:
+        return []
+    out = ["".join(runs)] + ([r for r in runs if len(r) > 2] if len(runs) > 1 else [])
+    if max(map(len, out)) > PIECE:
+        out = [w[k : k + PIECE] for w in out for k in range(0, max(len(w) - PIECE // 2, 1), PIECE // 2)]
+    return out
+
 
-    def products(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Scaled features of words times weights (triples, or triples x columns)."""
-        codes, first = self.codes(words)
-        owner = np.repeat(np.arange(len(words)), np.diff(first))
-        out = np.zeros((len(words), *weights.shape[1:]))
-        for at, triple, weight in self.triples(codes, first):
-            if weights.ndim == 1:
-                out += np.bincount(owner[at], weights[triple], len(words)) * weight
-            elif len(at):
-                own = owner[at]  # in order
-                cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                out[own[cut]] += np.add.reduceat(weights[triple], cut) * weight
-        return out / self.norms(np.diff(first)).reshape(-1, *[1] * (weights.ndim - 1))
+def triples(windows: list[str], decay: float = DECAY, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, column, weight) of all symbol triples of the windows, in order and each column of a window once; every window has length 1."""
+    units = np.frombuffer("".join(f"\x02{w}\x03" for w in windows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(w) + 2 for w in windows], np.int64)
+    codes, owner = mix(units.astype(np.uint64) + np.uint64(1)), np.repeat(np.arange(len(windows)), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(units))
+    first, middle, last = codes * _FIRST, codes * _MIDDLE, codes * _LAST
+    keys, weights = [], []
+    for d2 in range(2, reach):  # a triple spans d2 + 1 symbols, its middle one stands at d1
+        at = np.flatnonzero(room > d2)
+        ends = first[at] + last[at + d2]
+        for d1 in range(1, d2):
+            keys.append(owner[at] * BUCKETS + (mix(ends + middle[at + d1]) % np.uint64(BUCKETS)).astype(np.int64))
+            weights.append(np.full(len(at), decay ** (d2 + 1)))
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key)
+    key = key[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    key, weight = key[cut], np.add.reduceat(weight[order], cut) if len(cut) else weight
+    own, column = key // BUCKETS, key % BUCKETS
+    return own, column, weight / np.sqrt(np.bincount(own, weight * weight, len(windows)))[own]
+
+
+class Landmarks:
+    """The Nyström map: kernels with landmark windows, whitened."""
+
+    def __init__(self, windows: list[str]):
+        own, column, weight = triples(windows)
+        order = np.argsort(column, kind="stable")
+        self.owner, self.column, self.weight, self.n = own[order], column[order], weight[order], len(windows)
+        self.start = np.searchsorted(self.column, np.arange(BUCKETS + 1))
+        values, vectors = np.linalg.eigh(self.kernel(windows).astype(float))
+        keep = values > 1e-6 * values.max()
+        self.whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+
+    def kernel(self, windows: list[str]) -> np.ndarray:
+        """windows x landmarks. A triple meets only the landmarks that hold its column."""
+        own, column, weight = triples(windows)
+        n = self.start[column + 1] - self.start[column]
+        hit = np.flatnonzero(n)
+        n = n[hit]
+        place = np.arange(n.sum()) + np.repeat(self.start[column[hit]] - np.cumsum(n) + n, n)
+        out = np.bincount(np.repeat(own[hit], n) * self.n + self.owner[place], self.weight[place] * np.repeat(weight[hit], n), len(windows) * self.n)
+        return out.reshape(len(windows), self.n).astype(np.float32)
+
+    def features(self, windows: list[str]) -> np.ndarray:
+        x = self.kernel(windows) @ self.whiten
+        return np.column_stack([x, np.ones(len(x), np.float32)])
+
+    def machine(self, w: np.ndarray) -> Machine:
+        """A decision on features as one on triples."""
+        return Machine(np.bincount(self.column, self.weight * (self.whiten @ w[:-1])[self.owner], BUCKETS), float(w[-1]))
 
 
 @dataclass
-class Model:
-    kernel: Kernel | None
-    weights: np.ndarray | None  # by triple
+class Machine:
+    weights: np.ndarray  # by column
     bias: float
-    slope: float
-    shift: float
 
-    def decide(self, words: list[str]) -> np.ndarray:
-        """Over 0: a bad word. Words without triples can't be."""
-        if self.kernel is None or not words:
-            return np.full(len(words), -1.0)
-        return np.maximum(self.kernel.products(words, self.weights) + self.bias, -1.0)
+    def decide(self, windows: list[str]) -> np.ndarray:
+        """Over 0: a bad window."""
+        out = np.full(len(windows), self.bias)
+        for k in range(0, len(windows), BLOCK):
+            own, column, weight = triples(windows[k : k + BLOCK])
+            out[k : k + BLOCK] += np.bincount(own, self.weights[column] * weight, len(out[k : k + BLOCK]))
+        return out
+
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
-        return np.zeros(len(worst)) if self.kernel is None else 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -60, 60)))
+@dataclass
+class Model:
+    machine: Machine | None
+    curve: np.ndarray | None  # of the worst and the second worst window, the logarithm of the number of tokens, and 1
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps on its active rows. y: 1 and -1."""
-    w, ridge = np.zeros(x.shape[1] + 1), np.append(np.ones(x.shape[1]), 1e-3)
-    for _ in range(rounds):
-        left, right = np.diag(ridge), np.zeros(len(ridge))
-        for k in range(0, len(x), SVM_ROWS):
-            part = np.column_stack([x[k : k + SVM_ROWS].astype(float), np.ones(len(x[k : k + SVM_ROWS]))])
-            mark = y[k : k + SVM_ROWS]
-            active = mark * (part @ w) < 1
-            part = part[active]
-            a = part * (c * weight[k : k + SVM_ROWS][active])[:, None]
-            left += a.T @ part
-            right += a.T @ mark[active]
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-8):
-            break
-        w = new
-    return w[:-1], float(w[-1])
+def newton(x: np.ndarray, f: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides of a step for a linear machine with squared hinge loss. f: the rows' decisions so far; toxic, clean: their weights."""
+    toxic, clean = toxic * (f < 1), clean * (f > -1)
+    active = (toxic + clean) > 0
+    part = x[active]
+    return (part * (toxic + clean)[active, None].astype(np.float32)).T @ part, part.T @ (toxic - clean)[active].astype(np.float32)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
-    """slope and shift of a curve through 0/1 marks (weight None: all alike); a weak prior keeps it finite."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The weights of a curve through 0/1 marks, the last one the shift; a weak prior keeps them finite."""
     a = np.column_stack([x, np.ones(len(x))])
-    weight = np.ones(len(x)) if weight is None else weight * len(x) / weight.sum()
-    w = np.array([1.0, 0.0])
+    weight = weight * len(x) / weight.sum()
+    w = np.append(1.0, np.zeros(x.shape[1]))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + 0.05 * w
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), a.T @ (weight * (p - y)) + 0.05 * w)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
-def evidence(toxic: Column, clean: Column, share: float) -> Column:
-    """How a word's texts depart from the sample's share of toxic ones, as a log likelihood ratio; negative if the other way."""
+def departure(toxic: Column, clean: Column, share: float) -> Column:
+    """How a window's texts depart from the sample's share of toxic ones, as a log likelihood ratio; negative if the other way."""
     n = toxic + clean
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     return (part(toxic, share) + part(clean, 1 - share)) * F.when(toxic > n * share, 1).otherwise(-1)
 
 
-def passing(proof: np.ndarray, tried: int) -> int:
-    """How many of the best words pass (Benjamini and Hochberg): exp(-proof) bounds the odds that chance alone goes so far. proof: falling."""
-    good = np.flatnonzero(np.exp(-proof) * tried <= CHANCE * np.arange(1, len(proof) + 1))
-    return int(good[-1]) + 1 if len(good) else 0
+class Training:
+    """The labelled sentences, and the rounds of a machine over them. All tables lie in the scratch folder."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch):
+        self.texts, self.scratch, self.spark = texts, scratch, texts.sparkSession  # texts: toxic int, text string
+
+    def count(self, name: str, count: Callable[[int, list[list[str]], dict], None], machine: Machine | None = None) -> DataFrame:
+        """(window, toxic, clean) summed over all texts; count adds up one text's in a dict."""
+        shared = self.spark.sparkContext.broadcast(machine)
+
+        def run(batches):
+            for batch in sliced(batches):
+                texts = [[[*{w for t in tokens_of(s) for w in windows_of(t)}] for s in _SENTENCE.split(x)] for x in batch.column(1).to_pylist()]
+                known: dict[str, float] = {}
+                if shared.value is not None:
+                    new = [*{w for x in texts for s in x for w in s}]
+                    known = dict(zip(new, shared.value.decide(new).tolist()))
+                sums: dict[str, list[float]] = {}
+                for k, x in zip(batch.column(0).to_pylist(), texts):
+                    for kind, window in count(k, [s for s in x if s], known):
+                        sums.setdefault(window, [0.0, 0.0])[1 - kind] += 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sums.keys(), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.float64()) for i in (0, 1))], names=["window", "toxic", "clean"])
+
+        found = self.texts.mapInArrow(run, "window string, toxic double, clean double")
+        return self.keep(found, name)
+
+    def keep(self, counts: DataFrame, name: str) -> DataFrame:
+        """Summed by window, and dealt evenly to the tasks of the steps."""
+        return self.scratch.keep(counts.groupBy("window").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).repartition(TASKS), name)
+
+    def fit(self, counts: DataFrame, windows: list[str], cost: tuple[float, float], before: Machine | None = None, steps: int = 1) -> Machine:
+        """Newton steps over all counted windows; the first starts from the decisions of the machine before. cost: of all toxic ones, of all clean ones."""
+        landmarks = Landmarks(windows)
+        sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+        each = (cost[0] / max(sums["toxic"], 1e-9), cost[1] / max(sums["clean"], 1e-9))
+        w = None
+        for _ in range(steps):
+            shared = self.spark.sparkContext.broadcast((landmarks, before, w))
+
+            def run(batches):
+                maps, prior, now = shared.value
+                left = right = 0.0
+                for batch in batches:
+                    for k in range(0, batch.num_rows, BLOCK):
+                        part = batch.slice(k, BLOCK)
+                        own = part.column(0).to_pylist()
+                        x = maps.features(own)
+                        f = x @ now.astype(np.float32) if now is not None else prior.decide(own) if prior is not None else np.zeros(len(own))
+                        a, b = newton(x, f, *(part.column(1 + i).to_numpy() * each[i] for i in (0, 1)))
+                        left, right = left + a.astype(float), right + b.astype(float)
+                if np.ndim(left):
+                    yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["a", "b"])
+
+            rows = counts.select("window", "toxic", "clean").coalesce(TASKS).mapInArrow(run, "a binary, b binary").collect()  # at most TASKS
+            right = sum(np.frombuffer(r["b"]) for r in rows)
+            left = sum(np.frombuffer(r["a"]) for r in rows).reshape(len(right), len(right))
+            new = np.linalg.solve(left + np.diag(np.append(np.ones(len(right) - 1), 1e-6)), right)
+            done = w is not None and np.allclose(new, w, atol=1e-3)
+            w = new
+            if done:
+                break
+        return landmarks.machine(w)
+
+    def run(self) -> Machine | None:
+        cost = COST * self.texts.where("toxic = 1").count()
+        every = self.count("windows", _all_windows)
+        sums = every.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("n")).first()
+        if not sums["toxic"] or not sums["clean"]:
+            return None
+        proof = departure(F.col("toxic"), F.col("clean"), sums["toxic"] / (sums["toxic"] + sums["clean"]))
+        turn = -F.log((F.xxhash64("window").bitwiseAND(0xFFFFFFFF) + 1) / F.lit(2.0**32 + 1)) / (F.col("toxic") + F.col("clean"))  # a draw by frequency
+        windows = _first(every, F.desc(proof)) + _first(every, turn.asc())
+        sure = every.withColumn("toxic", F.col("toxic") / (1 + F.exp(F.least(F.lit(700.0), math.log(sums["n"]) - proof))))
+        machine = self.fit(sure, [*dict.fromkeys(windows)], (cost, cost))
+        judged: DataFrame | None = None
+        for k in range(ROUNDS):
+            now = self.count(f"judged-{k}", _worst_windows, machine)
+            if judged is not None:  # toxic sentences of this round, clean ones of all
+                now = self.keep(now.unionByName(judged.select("window", F.lit(0.0).alias("toxic"), "clean")), f"summed-{k}")
+            judged = now
+            windows = _first(judged.where("toxic > 0"), F.desc("toxic")) + _first(judged.where("toxic = 0 and clean > 0"), F.desc("clean"))
+            machine = self.fit(judged, windows, (cost, CLEAN * cost), machine, STEPS)
+        return machine
+
+
+def _first(counts: DataFrame, order: Column) -> list[str]:
+    return [r["window"] for r in counts.orderBy(order, "window").select("window").limit(LANDMARKS // 2).collect()]
+
+
+def _all_windows(toxic: int, sentences: list[list[str]], known: dict) -> Iterable[tuple[int, str]]:
+    """A text's windows once."""
+    return ((toxic, w) for w in {w for s in sentences for w in s})
+
+
+def _worst_windows(toxic: int, sentences: list[list[str]], known: dict) -> Iterable[tuple[int, str]]:
+    """The worst window of each clean sentence, or of a text's toxic ones: its worst, and those over 0."""
+    worst = [max((known[w], w) for w in s) for s in sentences]
+    if not toxic:
+        return ((0, w) for _, w in worst)
+    top = max(range(len(worst)), key=lambda i: (worst[i], -i), default=-1)
+    return ((1, w) for i, (v, w) in enumerate(worst) if v > 0 or i == top)
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOST, scratch: Scratch | None = None) -> Model:
     """A model from the labelled rows of docs for whose doc_id may_learn holds."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "toxicity")
-    marks = labels.where("doc_id is not null and toxic is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("doc_id is not null and toxic is not null").where(may_learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     every = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     ids = F.broadcast(some[0].union(some[1]).select("doc_id", "toxic"))  # at most 2 * most rows
-    sample = scratch.keep(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id"), "sample")
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        return Model(None, None, 0.0, 0.0, 0.0)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    sample = scratch.keep(sample.select("toxic", "text", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)) == 0).alias("curve")).repartition(TASKS), "sample")
+    machine = Training(sample.where("not curve").select("toxic", "text"), scratch).run()
+    if machine is None:
+        return Model(None, None)
+    got = signs(sample.where("curve").select("toxic", "text"), machine).collect()  # four numbers a sampled text
+    stands_for = [max(1.0, every.get(k, 0) / most) for k in (0, 1)]  # labelled texts of its kind for each sampled one
+    if not got:
+        return Model(None, None)
+    x, y = np.array([r[1:] for r in got], float), np.array([r["toxic"] for r in got], float)
+    return Model(machine, logistic(x, y, np.where(y > 0, stands_for[1], stands_for[0])))
 
-    def words(batches):
-        """The different words of each sentence; a text's words once."""
-        for batch in sliced(batches):
-            doc, mark, word = [], [], []
-            for i, text, k in zip(*(c.to_pylist() for c in batch.columns)):
-                own = {w for s in _SENTENCE.split(text) for t in tokens_of(s) if len(w := letters_of(t)) > 2}
-                doc += [i] * len(own)
-                mark += [k] * len(own)
-                word += own
-            yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int32()), pa.array(word, pa.string())], names=["toxic", "word"])
-
-    seen = sample.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(words, "toxic int, word string")
-    share = n[1] / (n[0] + n[1])
-    counted = scratch.keep(seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "words")
-    proof = evidence(F.col("t"), F.col("c"), share)
-    ranked = counted.where(proof > 0).orderBy(F.desc(proof), "word").limit(WITNESSES).select("word", "t", proof.alias("proof")).collect()
-    tried = counted.where((F.col("t") + F.col("c")) * -math.log(share) >= -math.log(CHANCE)).count()  # rarer words can't pass
-    found = ranked[: passing(np.array([r["proof"] for r in ranked]), tried)] or ranked[:STAND_INS]
-    witnesses, often = [r["word"] for r in found], np.array([r["t"] for r in found])
-    if not witnesses:  # no word is commoner in toxic texts
-        return Model(None, None, 0.0, 0.0, 0.0)
-    clean = counted.where((F.col("c") > 0) & (proof <= 0))
-    plain = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()]
-    letters: dict[str, int] = {}
-    for w in witnesses + plain[:2000]:
-        for ch in w:
-            letters[ch] = letters.get(ch, 0) + 1
-    kernel = Kernel("".join(sorted(letters, key=lambda ch: (-letters[ch], ch))[:LETTERS]))
-    part = LANDMARKS // 4  # the best witnesses, some of all others, and clean words
-    landmarks = witnesses[: 2 * part] + witnesses[2 * part :: max(1, len(witnesses) // part)][:part] + plain[:part]
-    z = kernel.features(landmarks)
-    values, vectors = np.linalg.eigh((z @ z.T).astype(float))
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    basis = z.T @ whiten.astype(np.float32)  # triples x features
-    del z
-    model = Model(kernel, None, 0.0, 1.0, 0.0)
-    hard: list[str] = []
-    x = _blocks(kernel, witnesses + plain, basis)
-    fixed = len(x)
-    for again in range(1 + MINED):  # again with the clean words that were taken for bad ones, or nearly so
-        negative = plain + hard
-        x = np.concatenate([x, _blocks(kernel, hard[len(x) - fixed :], basis)])
-        y = np.append(np.ones(len(witnesses)), -np.ones(len(negative)))
-        weight = np.append(0.5 * len(y) * often / often.sum(), np.full(len(negative), 0.5 * len(y) / len(negative)))
-        w, bias = svm(x, y, weight, c=COST)
-        model.weights, model.bias = (basis @ w.astype(np.float32)).astype(float), bias
-        if again < MINED:
-            worst = _decided(clean.select("word"), model).where("value > -0.8").orderBy(F.desc("value"), "word").limit(OTHERS // 3)
-            hard += [r["word"] for r in worst.collect() if r["word"] not in set(hard)]
-    scores = sample_worst(sample, model)
-    got = [(r["worst"], r["toxic"]) for r in scores.select("worst", "toxic").collect()]  # two numbers a sampled text
-    stands_for = [max(1.0, every[k] / most) for k in (0, 1)]  # labelled texts of its kind for each sampled one
-    model.slope, model.shift = logistic(np.array([g[0] for g in got]), np.array([float(g[1]) for g in got]), np.array([stands_for[g[1]] for g in got]))
-    return model
-
-
-def _blocks(kernel: Kernel, words: list[str], basis: np.ndarray) -> np.ndarray:
-    return np.concatenate([kernel.products(words[k : k + 500], basis).astype(np.float32) for k in range(0, len(words), 500)] or [np.zeros((0, basis.shape[1]), np.float32)])
-
-
-def _decided(words: DataFrame, model: Model) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.decide(batch.column(0).to_pylist()), pa.float64())], names=["word", "value"])
+_known: dict[int, dict[str, tuple[float, str]]] = {}
 
-    return words.mapInArrow(run, "word string, value double")
 
-
-_known: dict[int, dict[str, float]] = {}
-
-
-def worst_of(texts: list[str], model: Model, key: int) -> np.ndarray:
-    """The decision about the worst word of each text."""
+def signs_of(texts: list[str], machine: Machine, key: int) -> np.ndarray:
+    """The decisions about the worst window of each text and about the worst other one, and the logarithm of the number of its different tokens."""
     if key not in _known:
         _known.clear()
         _known[key] = {}
     known = _known[key]
-    parts = [tokens_of(t) for t in texts]
+    parts = [set(tokens_of(t)) for t in texts]
     new = list(set().union(*parts).difference(known)) if parts else []
-    values = model.decide([letters_of(t) for t in new])
-    got = dict(zip(new, values.tolist()))
+    own = [windows_of(t) for t in new]
+    flat = [*dict.fromkeys(w for x in own for w in x)]
+    value = dict(zip(flat, np.clip(machine.decide(flat), LOW, HIGH).tolist()))
+    got = {t: max(((value[w], w) for w in x), default=(LOW, "")) for t, x in zip(new, own)}
     if len(known) + len(got) <= CACHE_WORDS:
         known.update(got)
         get = known.__getitem__
-        return np.array([max(map(get, p), default=-1.0) for p in parts])
-    get, more = known.get, got.get
-    return np.array([max((v if (v := get(t)) is not None else more(t) for t in p), default=-1.0) for p in parts])
+    else:
+        get = lambda t: known.get(t) or got[t]
+    out = np.full((len(texts), 3), LOW)
+    for k, p in enumerate(parts):
+        mine = [*map(get, p)]
+        first = max(mine, default=(LOW, ""))
+        out[k] = first[0], max((v for v, w in mine if w != first[1]), default=LOW), math.log1p(len(p))
+    return out
 
 
-def sample_worst(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows without text, with worst."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    key = hash((model.bias, model.slope, shared._jbroadcast.id() if shared._jbroadcast is not None else 0))
+def signs(rows: DataFrame, machine: Machine) -> DataFrame:
+    """The rows without text, with worst, second and size."""
+    shared = rows.sparkSession.sparkContext.broadcast(machine)
+    key = hash((machine.bias, float(machine.weights.sum())))
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in sliced(batches):
-            worst = worst_of(batch.column(len(others)).to_pylist(), shared.value, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(worst, pa.float64())], names=[*others, "worst"])
+            got = signs_of(batch.column(len(others)).to_pylist(), shared.value, key)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(got[:, i].copy(), pa.float64()) for i in range(3))], names=[*others, "worst", "second", "size"])
         _known.clear()  # the worker lives on under other work
 
     plain = rows.select(*others, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "text")
-    return plain.mapInArrow(run, f"{schema}, worst double" if schema else "worst double")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "text"]
+    return plain.mapInArrow(run, ", ".join([*schema, "worst double", "second double", "size double"]))
 
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """doc_id (with keep_text all columns of docs) and score of each row."""
+    """doc_id (with keep_text all columns of docs, as _row) and score of each row."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if keep_text:
         rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    worst = sample_worst(rows, model)
-    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("worst") * model.slope + model.shift))
-    value = F.lit(0.0) if model.kernel is None else 1 / (1 + F.exp(-z))
-    return worst.withColumn("score", value).drop("worst")
+    if model.machine is None:
+        return rows.drop("text").withColumn("score", F.lit(0.0))
+    a, b, c, shift = (float(v) for v in model.curve)
+    z = F.col("worst") * a + F.col("second") * b + F.col("size") * c + shift
+    return signs(rows, model.machine).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))))).drop("worst", "second", "size")
 
 
 def held_out() -> Column:
@@ -333,7 +379,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> Data
     return score(docs, model, keep_text=True).where(F.col("score") < limit).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
-def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = score(docs, train(docs, labels, ~held_out()))
