@@ -25,6 +25,8 @@ from loomgraph.llm._base import Scratch, docs_view, runs, sliced, utf8
 from loomgraph.llm._words import ngram_hashes, spans, window_hashes
 
 WINDOW, MINIMISER, HOT = 35, 5, 10_000
+#: Hot minimisers that are broadcast at most.
+MOST_HOT = 1_000_000
 #: Occurrences of a hot string that travel in one row.
 SPREAD = 16
 
@@ -76,6 +78,18 @@ def _minimisers(docs: DataFrame, window: int, minimiser: int, with_place: bool)
     return docs.mapInArrow(run, f"doc_id {kind}, th long, pos int, n int, mh long" if with_place else "mh long")
 
 
+def _marked(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """The places whose minimiser is counted, with hot. Hot minimisers are few, so they are known before the shuffle, where their places
+    go by a hash of their own; with more than MOST_HOT of them the join alone tells."""
+    often = counts.where("hot").select(F.col("mh").alias("_often"))
+    if often.count() > MOST_HOT:
+        return places.join(counts, "mh")
+    known = places.join(F.broadcast(often), F.col("mh") == F.col("_often"), "left").withColumn("_by", F.when(F.col("_often").isNull(), F.col("mh")).otherwise(F.xxhash64("doc_id", "th", "pos")))
+    cold = counts.where("not hot").select(F.col("mh").alias("_cold"))
+    met = known.join(cold, F.col("_by") == F.col("_cold"), "left").where("_often is not null or _cold is not null")
+    return met.select(*places.columns, F.col("_often").isNotNull().alias("hot"))
+
+
 def _packed(joined: DataFrame, window: int) -> DataFrame:
     """bucket, hot, packed (words parted by single spaces) and occ (array of doc_id, th, pos) from rows with text and their
     super-k-mers. A chunk's equal strings are one row, so a string that very many documents share is a row per chunk."""
@@ -197,7 +211,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
     docs = docs_view(docs)
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     counts = _minimisers(docs, window, minimiser, False).groupBy("mh").agg(F.count("*").alias("c")).where("c > 1").select("mh", (F.col("c") > hot).alias("hot"))
-    marks = _minimisers(docs, window, minimiser, True).join(counts, "mh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n", "mh", "hot")).alias("marks")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th")
+    marks = _marked(_minimisers(docs, window, minimiser, True), scratch.keep(counts, "counts")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n", "mh", "hot")).alias("marks")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th")
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (docs["th"] == marks["_th"])).select("doc_id", "text", "th", "marks")
     packed = scratch.keep(_packed(joined, window), "packed")
     ranges = _cold(packed, window).unionByName(_hot(packed, window))
