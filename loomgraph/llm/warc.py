@@ -215,31 +215,31 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """path and n_records of the archives that the rows of with_revisits() are written to. A task writes under a name of its own
-    and renames when done, so one that is repeated replaces what it left."""
+    """The manifest: path, length and n_records of the archives that the rows of with_revisits() are written to. Each attempt at a
+    task writes under names of its own; Spark commits one attempt's rows, so archives of others, or half written, are in no manifest."""
     def run(batches):
         from pyspark import TaskContext
 
         system, base = _at(folder)
         system.create_dir(base, recursive=True)
-        part, k = TaskContext.get().partitionId(), 0
+        part, attempt, k = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         held: list[tuple[bytes, str]] = []
         size = 0
 
         def flush():
-            name = f"part-{part:05d}-{k:04d}.zip"
-            temp = f"{base}/.{name}-{uuid.uuid4().hex}"
+            name = f"part-{part:05d}-{k:04d}-{attempt}.zip"
             warc = f"part-{part:05d}-{k:04d}.warc.gz"
             lines, at = [], 0
-            with system.open_output_stream(temp) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
-                with z.open(f"archive/{warc}", "w", force_zip64=True) as out:
-                    for raw, url in held:
-                        out.write(raw)
-                        lines.append(f"{url} 20240101000000 " + json.dumps({"offset": str(at), "length": str(len(raw)), "filename": warc}))
-                        at += len(raw)
-                z.writestr("indexes/index.cdxj", "\n".join(lines) + "\n")
-            system.move(temp, f"{base}/{name}")
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(held)]})
+            with system.open_output_stream(f"{base}/{name}") as f:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+                    with z.open(f"archive/{warc}", "w", force_zip64=True) as out:
+                        for raw, url in held:
+                            out.write(raw)
+                            lines.append(f"{url} 20240101000000 " + json.dumps({"offset": str(at), "length": str(len(raw)), "filename": warc}))
+                            at += len(raw)
+                    z.writestr("indexes/index.cdxj", "\n".join(lines) + "\n")
+                length = f.tell()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "length": [length], "n_records": [len(held)]})
 
         for batch in batches:
             for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
@@ -252,7 +252,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if held:
             yield flush()
 
-    return records.select("page_id", "url", "payload", "revisit", "refers_to").mapInArrow(run, "path string, n_records long")
+    return records.select("page_id", "url", "payload", "revisit", "refers_to").mapInArrow(run, "path string, length long, n_records long")
 
 
 def _splits(batches):
@@ -312,9 +312,14 @@ def _records(batches):
                 [pa.array(c, t) for c, t in zip(zip(*got) if got else [()] * 7, (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()))], names=list(Record._fields))
 
 
-def read_archives(spark: SparkSession, folder: str, glob: str = "*.zip") -> DataFrame:
-    """page_id, url, record_type, payload (null for a revisit), payload_bytes, payload_digest and refers_to of all records."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")
+def read_folder(spark: SparkSession, folder: str, glob: str = "*.zip") -> DataFrame:
+    """read_archives() of all archives in a folder that others wrote."""
+    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder))
+
+
+def read_archives(archives: DataFrame) -> DataFrame:
+    """page_id, url, record_type, payload (null for a revisit), payload_bytes, payload_digest and refers_to of all records in archives (path, length)."""
+    spark, files = archives.sparkSession, archives.select("path", "length")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     splits = files.mapInArrow(_splits, "path string, at long, size long, starts array<long>, sizes array<long>").repartition(n)
     return splits.mapInArrow(_records, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
@@ -328,7 +333,7 @@ def roundtrip(pages: DataFrame, min_revisit: int = MIN_REVISIT, scratch: Scratch
     made = scratch.keep(write_archives(with_revisits(pages, min_revisit), folder), "manifest")
     if not made.agg(F.sum("n_records").alias("n")).first()["n"]:
         return spark.createDataFrame([], "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
-    return read_archives(spark, folder)
+    return read_archives(made)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -51,7 +51,17 @@ def test_many_archives_and_splits(spark, monkeypatch):
     scratch = Scratch(spark, "t")
     made = w.write_archives(w.with_revisits(df), scratch.path("a"), archive_bytes=4000).collect()
     assert sum(r["n_records"] for r in made) == 100 and len(made) > 4
-    assert rows(w.read_archives(spark, scratch.path("a"))) == brute([(r["page_id"], r["html"]) for r in df.collect()])
+    assert rows(w.read_folder(spark, scratch.path("a"))) == brute([(r["page_id"], r["html"]) for r in df.collect()])
+
+
+def test_repeated_attempts(spark):
+    """What an attempt that wasn't committed left in the folder isn't read."""
+    df = spark.range(200).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 90) as html")
+    scratch = Scratch(spark, "t")
+    lost = w.write_archives(w.with_revisits(df), scratch.path("a"), archive_bytes=500).collect()
+    made = scratch.keep(w.write_archives(w.with_revisits(df), scratch.path("a"), archive_bytes=5000), "manifest")
+    assert len(lost) > made.count() and not {r["path"] for r in lost} & {r["path"] for r in made.collect()}
+    assert rows(w.read_archives(made)) == brute([(r["page_id"], r["html"]) for r in df.collect()])
 
 
 def archive(members, method=zipfile.ZIP_STORED):
@@ -108,5 +118,5 @@ def test_damage():
 def test_member_without_index(spark, tmp_path, pack):
     raws = [w.record(k, f"http://h/{k}", b"p" * k, None, False) for k in range(5)]
     (tmp_path / "x.zip").write_bytes(zip64(archive([("archive/x.warc" + (".gz" if pack is gzip.compress else ""), b"".join(map(pack, raws)))])))
-    got = sorted((r["page_id"], r["url"], r["payload"]) for r in w.read_archives(spark, f"file://{tmp_path}").collect())
+    got = sorted((r["page_id"], r["url"], r["payload"]) for r in w.read_folder(spark, f"file://{tmp_path}").collect())
     assert got == [(k, f"http://h/{k}", b"p" * k) for k in range(5)]
