@@ -59,6 +59,18 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, th and _row, which holds all columns of docs, so that their names can't clash with an operator's own."""
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)))
+    return docs.select("doc_id", "text", text_key(), row.alias("_row"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs out of carried() rows, with another text if given."""
+    each = [text if text is not None and c == "text" else F.col("_row").getField(f"_{k}") for k, c in enumerate(docs.columns)]
+    return rows.select(*(v.alias(c) for v, c in zip(each, docs.columns)))
+
+
 def docs_view(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and th, whatever else the table has."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), text_key(), *more)

@@ -25,6 +25,8 @@ from loomgraph.llm.components import components
 
 #: A block of a cell holds about so many members and so many set elements at most; a single larger member is alone.
 BLOCK_MEMBERS, BLOCK_ELEMENTS = 1024, 400_000
+#: Text hashes that are broadcast at most, to sieve rows ahead of a shuffle.
+MOST_SIEVED = 500_000
 
 
 def choose_bands(similarity: float, recall: float, rows: int) -> int:
@@ -140,6 +142,14 @@ def forest(n: int, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def sieved(view: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of view whose th is among the wanted ones, so that no others travel to the join that follows; with over MOST_SIEVED of them
+    all rows, among which that join tells."""
+    if wanted.count() > MOST_SIEVED:
+        return view
+    return view.join(F.broadcast(wanted.select("th").distinct()), "th", "left_semi")
+
+
 def with_blocks(members: DataFrame, block_members: int = BLOCK_MEMBERS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """Adds to members (cid, comp, n: set size, any more columns) the number of blocks that their component is cut into."""
     size = members.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("_members"), F.sum("n").alias("_elements"))

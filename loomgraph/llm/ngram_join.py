@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import _near
-from loomgraph.llm._base import Scratch, docs_view, sliced, text_key, utf8
+from loomgraph.llm._base import Scratch, carried, docs_view, restored, sliced, utf8
 from loomgraph.llm._words import mix, ngram_hashes, spans, window_hashes
 
 N, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 4
@@ -87,8 +87,8 @@ def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, r
     # copies are put together first: a class has one row, whatever its number of copies
     one = scratch.keep(signed.where("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "th")).alias("of")), "classes-of-copies")
     found = _near.candidates(_near.combine(one.select(F.explode("bands").alias("band"), "cid")), scratch)
-    wanted = _near.with_blocks(one.join(found, "cid").select("cid", "comp", "n", "copies", "of"), **cells)
-    members = view.join(wanted, view["_key"] == wanted["of"]).select("cid", "comp", "blocks", "copies", "text")
+    wanted = scratch.keep(_near.with_blocks(one.join(found, "cid").select("cid", "comp", "n", "copies", "of"), **cells), "wanted")
+    members = _near.sieved(view, wanted.select("of.th")).join(wanted, F.col("_key") == wanted["of"]).select("cid", "comp", "blocks", "copies", "text")
     linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity), scratch)
     named = one.join(linked, "cid", "left").select("cid", "copies", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("weighted", F.lit(0)).alias("weighted"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
@@ -104,9 +104,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     key = F.struct("doc_id", "th").alias("_kept")
     chosen = judged.where("not alone").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     stay = chosen.select(F.struct("k.doc_id", "k.th").alias("_kept"), F.lit(False).alias("_alone")).unionByName(judged.where("alone").select(key, F.lit(True).alias("_alone")).distinct())
-    keyed = docs.withColumn("_key", F.struct("doc_id", text_key()))
+    keyed = carried(docs).withColumn("_key", F.struct("doc_id", "th"))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # equal rows: only one of them
-    return keyed.join(stay, keyed["_key"] == stay["_kept"]).withColumn("_nth", nth).where("_alone or _nth = 1").select(*(keyed[c] for c in docs.columns))
+    return restored(keyed.join(stay, keyed["_key"] == stay["_kept"]).withColumn("_nth", nth).where("_alone or _nth = 1"), docs)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

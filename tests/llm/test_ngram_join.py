@@ -76,7 +76,7 @@ def test_odd_rows(spark):
     docs = odd(spark)
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert got(j.ngram_classes(docs)) == want
-    df = clashing(spark, ["th", "cid", "n", "bands", "class_id", "alone"])
+    df = clashing(spark, ["th", "cid", "n", "bands", "class_id", "alone", "_key", "_ALONE", "_nth", "_kept"])
     assert got(j.ngram_classes(df)) == want
     kept = j.keep_one(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
