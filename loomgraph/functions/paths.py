@@ -84,9 +84,3 @@ def prefixes(path: Column) -> Column:
     """All whole-segment beginnings of a path, the shortest first."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-
-
-def common_prefix(a: Column, b: Column) -> Column:
-    """How many characters two strings begin with alike."""
-    n = F.least(F.length(a), F.length(b))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))) & (n > 0), i).otherwise(k))

@@ -1,15 +1,46 @@
-"""Cutting lineage in iterative operators."""
+"""Tables of intermediate rows in the shared folder: they cut lineage and survive the loss of executors."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset a folder of our own, which only a local master may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="loomgraph-"))
+    return "file://" + _LOCAL[0].name
+
+
+def new_path(spark: SparkSession) -> str:
+    """A folder to be, in the shared one."""
+    path = f"{shared_dir(spark)}/loomgraph/graph-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
+    """df, written once and read again; the table goes when Python ends."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; the folder belongs to its owner
+        pass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import subsequence
+from loomgraph.functions.text import strip, subsequence
 from loomgraph.operators.views import CONTAIN, REF
 
 
@@ -29,9 +29,9 @@ def details(nodes: DataFrame, edges: DataFrame, key: str, most: int = 150) -> Da
     section = F.when(F.col("way") == "in", "used_by").when(F.col("type") == CONTAIN, "children").when(F.col("kind") == "keyword", "keywords").otherwise("uses")
     first = F.when(section == "children", F.when(F.col("kind") == "dir", 0).otherwise(1)).otherwise(F.when(F.col("type") == REF, 1).otherwise(0))
     rows = rows.select(section.alias("section"), F.col("other").alias("key"), (F.col("type") == REF).alias("weak"), first.alias("first"), "name")
-    rn = F.row_number().over(Window.partitionBy("section").orderBy("first", "name", "key"))
-    total = F.count("*").over(Window.partitionBy("section"))
-    return rows.withColumn("rn", rn).withColumn("total", total).where(F.col("rn") <= most).select("section", "key", "weak", "rn", "total")
+    rn = F.row_number().over(Window.partitionBy("section").orderBy("first", "name", "key"))  # alone in its window, so its limit reaches the tasks that read
+    total = rows.groupBy("section").agg(F.count("*").alias("total"))
+    return rows.withColumn("rn", rn).where(F.col("rn") <= most).join(F.broadcast(total), "section").select("section", "key", "weak", "rn", "total")  # four sections at most
 
 
 def peek_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,6 +43,34 @@ def peek_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return some.join(ins, "key", "left").join(outs, "key", "left").select("key", F.coalesce(n, F.lit(0)).alias("n"))
 
 
+def first_lines(symbols: DataFrame, files: DataFrame, most: int = 160) -> DataFrame:
+    """key and code: the trimmed line on which each symbol (key, path, line from 0) begins; empty without file or line."""
+    line = strip(F.coalesce(F.get(F.split("text", "\n"), F.col("line")), F.lit("")))
+    return symbols.join(files.select("path", "text"), "path", "left").select("key", F.substr(line, F.lit(1), F.lit(most)).alias("code"))
+
+
+def line_click(symbols: DataFrame, clicks: DataFrame, grain: int = 64) -> DataFrame:
+    """click_id and key: the shortest symbol (key, file_key, line, end) that covers a clicked line (click_id, file_key, line), the outer
+    one (it begins first, then has the least key) of equally long ones; the file itself where none does."""
+    bucket = lambda c: F.floor(F.col(c) / grain).cast("long")
+    spans = symbols.select("key", "file_key", F.col("line").alias("lo"), F.col("end").alias("hi"))
+    met = clicks.withColumn("bucket", bucket("line")).join(spans.withColumn("bucket", F.explode(F.sequence(bucket("lo"), bucket("hi")))), ["file_key", "bucket"]).where("line between lo and hi")
+    best = met.groupBy("click_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "lo", "key")).alias("m"))
+    return clicks.join(best, "click_id", "left").select("click_id", F.coalesce("m.key", "file_key").alias("key"))
+
+
+def without_kin(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links (s, t, type) without those of a node to itself, to its parent or to its child."""
+    up = nodes.select("key", F.col("parent_key").alias("_up"))
+    met = links.where("s <> t").join(up.select(F.col("key").alias("s"), F.col("_up").alias("_s_up")), "s", "left").join(up.select(F.col("key").alias("t"), F.col("_up").alias("_t_up")), "t", "left")
+    return met.where("not (_s_up <=> t) and not (_t_up <=> s)").select("s", "t", "type")
+
+
+def by_key(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The nodes that have the asked keys (column key)."""
+    return nodes.join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def map_into(nodes: DataFrame, shown: DataFrame) -> DataFrame:
     """key and view_key: the node itself where the view shows it, else its file where that is shown, else null."""
     keys = shown.select("key")

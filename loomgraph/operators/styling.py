@@ -66,6 +66,17 @@ def fit_box(points: DataFrame, width: float, height: float) -> DataFrame:
     return box.select(((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.round(F.greatest(F.lit(MIN_SCALE), F.least(scale, F.lit(MAX_SCALE))), 6).alias("scale"))
 
 
+def to_screen(points: DataFrame, cam_x: float, cam_y: float, scale: float, width: float, height: float) -> DataFrame:
+    """key, sx and sy: where a camera shows the points (key, x, y)."""
+    at = lambda c, cam, size: ((F.col(c) - cam) * scale + size / 2).alias(f"s{c}")
+    return points.select("key", at("x", cam_x, width), at("y", cam_y, height))
+
+
+def clamped_zoom(scale: Column, factor: Column) -> Column:
+    """The scale after a zoom, from 0.03 to 8."""
+    return F.greatest(F.lit(0.03), F.least(F.lit(8.0), scale * factor))
+
+
 def nearest(points: DataFrame, x: float, y: float, most: float) -> DataFrame:
     """key of the nearest point within `most`; ties by key."""
     d = F.hypot(F.col("x") - x, F.col("y") - y)

@@ -11,6 +11,7 @@ from loomgraph.functions import paths as P
 from loomgraph.functions import text as T
 from loomgraph.operators import caching, keywords, lookup, neighborhood, styling, views
 from loomgraph.operators import paths as paths_of
+from loomgraph.operators._store import cut, new_path
 from loomgraph.plans import adapters as A
 from loomgraph.sources import links
 
@@ -69,8 +70,14 @@ def _with(body: str) -> str:
     return "WITH RECURSIVE " + body + " "
 
 
+def _graph(spark, sf_dir):
+    """Nodes, written once, and edges."""
+    nodes = cut(A.star_nodes(spark, sf_dir))
+    return nodes, A.star_edges(spark, sf_dir, nodes)
+
+
 def _files_view(spark, sf_dir):
-    nodes, edges = A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     return views.view_nodes(nodes, "files"), views.view_edges(nodes, edges, "files")
 
 
@@ -99,7 +106,7 @@ def graph_stats(spark, sf_dir):
 
 @query(_with(_CODE) + "SELECT s, t, type FROM ve")
 def view_code(spark, sf_dir):
-    return views.view_edges(A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir), "code")
+    return views.view_edges(*_graph(spark, sf_dir), "code")
 
 
 @query(_with(_FILES) + "SELECT s, t, type FROM ve")
@@ -109,7 +116,7 @@ def view_files(spark, sf_dir):
 
 @query(_with(_CODE) + "SELECT s, t, type FROM ve WHERE type <> 1 AND s NOT IN (SELECT key FROM nodes WHERE kind = 'variable') AND t NOT IN (SELECT key FROM nodes WHERE kind = 'variable')")
 def view_filtered(spark, sf_dir):
-    return views.view_edges(A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir), "code", ("vars", "refs"))
+    return views.view_edges(*_graph(spark, sf_dir), "code", ("vars", "refs"))
 
 
 @query(_with(_NODES) + "SELECT key FROM nodes WHERE kind = 'lib'")
@@ -120,9 +127,9 @@ def view_fallback(spark, sf_dir):
 
 @query(_with(_CODE + _DEG) + "SELECT key, CAST(deg AS DOUBLE) AS score FROM deg JOIN nodes USING (key) WHERE kind = 'file' ORDER BY deg DESC, key LIMIT 1")
 def default_node_code(spark, sf_dir):
-    nodes = A.star_nodes(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     shown = views.view_nodes(nodes, "code")
-    return views.default_node(nodes, views.degree(shown, views.view_edges(nodes, A.star_edges(spark, sf_dir), "code")), "code")
+    return views.default_node(nodes, views.degree(shown, views.view_edges(nodes, edges, "code")), "code")
 
 
 @query(_with(_EDGES) + f"SELECT s AS key, CASE type WHEN 1 THEN 'ref' WHEN 2 THEN 'contain' ELSE 'dep' END AS type FROM edges WHERE t = '{LIB}'")
@@ -144,8 +151,6 @@ def hidden_by(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    from loomgraph.operators._store import cut
-
     shown, edges = _files_view(spark, sf_dir)
     edges = cut(edges)
     return views.degree(shown, edges), edges
@@ -203,7 +208,7 @@ def _search_sql(q: str) -> str:
 
 @query(_with(_NODES) + " UNION ALL ".join(map(_search_sql, SEARCH)))
 def search_rank(spark, sf_dir):
-    nodes = A.star_nodes(spark, sf_dir)
+    nodes = cut(A.star_nodes(spark, sf_dir))
     out = None
     for q in SEARCH:
         hits = lookup.search(nodes, q).select(F.lit(q).alias("query"), "key", "cls", "rank")
@@ -214,18 +219,18 @@ def search_rank(spark, sf_dir):
 @query(_with(_EDGES) + f"""SELECT section, key, weak, rn, total FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY first, name, key) AS rn, count(*) OVER (PARTITION BY section) AS total FROM (
  SELECT 'used_by' AS section, s AS key, type = 1 AS weak, CASE type WHEN 1 THEN 1 ELSE 0 END AS first, name FROM edges JOIN nodes ON key = s WHERE t = '{LIB}' AND type <> 2) x) y WHERE rn <= 150""")
 def details_lists(spark, sf_dir):
-    return lookup.details(A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir), LIB)
+    return lookup.details(*_graph(spark, sf_dir), LIB)
 
 
 @query(_with(_EDGES) + f"""SELECT 'children' AS section, key, FALSE AS weak, row_number() OVER (ORDER BY CASE kind WHEN 'dir' THEN 0 ELSE 1 END, name, key) AS rn, count(*) OVER () AS total FROM edges JOIN nodes ON key = t WHERE s = '{START}'""")
 def details_children(spark, sf_dir):
-    return lookup.details(A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir), START)
+    return lookup.details(*_graph(spark, sf_dir), START)
 
 
 @query(_with(_EDGES) + """SELECT key, count(e.s) AS n FROM nodes LEFT JOIN edges e ON CASE WHEN kind IN ('lib', 'keyword') THEN e.t = key ELSE e.s = key AND (kind = 'dir' OR type = 2) END WHERE kind IN ('lib', 'keyword', 'dir', 'file') AND kind IN ('lib', 'dir') GROUP BY key
  UNION ALL SELECT key, count(e.s) AS n FROM nodes LEFT JOIN edges e ON e.s = key AND e.type = 2 WHERE kind = 'file' GROUP BY key""")
 def peek_counts(spark, sf_dir):
-    return lookup.peek_counts(A.star_nodes(spark, sf_dir), A.star_edges(spark, sf_dir))
+    return lookup.peek_counts(*_graph(spark, sf_dir))
 
 
 @query(_with(_NODES) + "SELECT key, CASE WHEN kind IN ('dir', 'file', 'lib') THEN key ELSE file_key END AS view_key FROM nodes")
@@ -260,7 +265,7 @@ _TERMS = f"""files AS (SELECT doc_id, source || '/' || lang || '/' || CAST(doc_i
 
 def _terms(spark, sf_dir):
     files = A.doc_files(spark, sf_dir)
-    return files, keywords.term_counts(files), A.read(spark, sf_dir, "documents").count()
+    return files, cut(keywords.term_counts(files)), A.read(spark, sf_dir, "documents").count()
 
 
 @query("WITH " + _TERMS + " SELECT doc_id, word, c FROM terms")
@@ -399,8 +404,10 @@ def suffix_join(spark, sf_dir):
     return paths_of.suffix_join(files.select("path"), files.select(F.col("name").alias("suffix")))
 
 
-@query(_with(_LIST + """, f AS (SELECT path FROM list UNION SELECT 'x/' || path FROM list), q AS (SELECT DISTINCT path AS "from", path AS suffix FROM list UNION SELECT DISTINCT 'x/y' AS "from", path FROM list)""") +
-       """SELECT "from", suffix, CASE WHEN "from" = 'x/y' THEN 'x/' || suffix ELSE suffix END AS match FROM q""")
+@query(_with(_LIST + """, f AS (SELECT path FROM list UNION SELECT 'x/' || path FROM list), q AS (SELECT DISTINCT path AS "from", path AS suffix FROM list UNION SELECT DISTINCT 'x/y' AS "from", path FROM list),
+ met AS (SELECT "from", suffix, path FROM q JOIN f ON path = suffix UNION SELECT "from", suffix, path FROM q JOIN f ON path = 'x/' || suffix),
+ alike AS (SELECT *, (SELECT count(*) FROM range(1, least(length(path), length("from")) + 1) r(n) WHERE left(path, n) = left("from", n)) AS n FROM met)""") +
+       """SELECT "from", suffix, path AS match FROM alike QUALIFY row_number() OVER (PARTITION BY "from", suffix ORDER BY n DESC, path) = 1""")
 def closest_path(spark, sf_dir):
     own = A.listing(spark, sf_dir).select("path")
     files = own.unionByName(own.select(F.concat(F.lit("x/"), "path").alias("path"))).distinct()
@@ -557,3 +564,106 @@ def anti_except(spark, sf_dir):
     """Files without symbols of a status."""
     orders = A.read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")
     return A.read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.concat(F.lit("f:"), "c_name").alias("key"))
+
+
+# ---- more lookups, sources and sinks ---------------------------------------------------------------------------------
+
+#: Orders as symbols of made-up lines in their customers' files.
+_SPANS = """sym AS (SELECT 's:' || o_orderkey AS key, 'f:' || c_name AS file_key, o_orderkey % 300 AS line, o_orderkey % 300 + o_orderkey % 7 * 20 AS "end" FROM orders JOIN customer ON o_custkey = c_custkey),
+ clicks AS (SELECT event_id AS click_id, 'f:' || c_name AS file_key, event_id % 330 AS line FROM events JOIN customer ON c_custkey = event_id % 200 + 1)"""
+
+
+def _symbols(spark, sf_dir):
+    customer, key = A.read(spark, sf_dir, "customer"), F.col("o_orderkey")
+    orders = A.read(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    symbols = orders.select(F.concat(F.lit("s:"), key).alias("key"), F.concat(F.lit("f:"), "c_name").alias("file_key"), (key % 300).alias("line"), (key % 300 + key % 7 * 20).alias("end"))
+    events = A.read(spark, sf_dir, "events").join(customer, F.col("c_custkey") == F.col("event_id") % 200 + 1)
+    return symbols, events.select(F.col("event_id").alias("click_id"), F.concat(F.lit("f:"), "c_name").alias("file_key"), (F.col("event_id") % 330).alias("line"))
+
+
+@query("WITH " + _SPANS + """ SELECT click_id, coalesce(key, clicks.file_key) AS key FROM clicks LEFT JOIN sym ON sym.file_key = clicks.file_key AND clicks.line BETWEEN sym.line AND "end"
+ QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY "end" - sym.line, sym.line, key) = 1""")
+def line_click(spark, sf_dir):
+    return lookup.line_click(*_symbols(spark, sf_dir))
+
+
+@query(_with(_EDGES) + "SELECT s, t, type FROM edges JOIN nodes a ON a.key = s JOIN nodes b ON b.key = t WHERE s <> t AND a.parent_key IS DISTINCT FROM t AND b.parent_key IS DISTINCT FROM s")
+def without_kin(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return lookup.without_kin(edges, nodes)
+
+
+@query(_with(_NODES) + "SELECT key, kind FROM nodes WHERE key IN (SELECT 's:' || l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def by_key(spark, sf_dir):
+    asked = A.read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("s:"), "l_orderkey").alias("key"))
+    return lookup.by_key(A.star_nodes(spark, sf_dir), asked).select("key", "kind")
+
+
+@query("SELECT doc_id, substr(regexp_replace(coalesce(string_split(coalesce(text, ''), chr(10))[doc_id % 3 + 1], ''), '^\\s+|\\s+$', '', 'g'), 1, 160) AS code FROM documents")
+def first_lines(spark, sf_dir):
+    files = A.doc_files(spark, sf_dir)
+    symbols = files.select(F.col("doc_id").alias("key"), "path", (F.col("doc_id") % 3).cast("int").alias("line"))
+    return lookup.first_lines(symbols, files).select(F.col("key").alias("doc_id"), "code")
+
+
+@query(_with(_LIST) + "SELECT DISTINCT path FROM list WHERE path IN (SELECT replace(path, 'src1/', 'src2/') FROM list)")
+def exact_join(spark, sf_dir):
+    own = A.listing(spark, sf_dir).select("path")
+    return paths_of.exact_join(own, own.select(F.replace("path", F.lit("src1/"), F.lit("src2/")).alias("path")))
+
+
+@query("""SELECT p AS path, min(doc_id) AS doc_id FROM (SELECT coalesce(source, '') || '/' || coalesce(lang, '') AS p, doc_id FROM documents) x GROUP BY p""")
+def files_by_path(spark, sf_dir):
+    docs = A.read(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))).alias("path"), "doc_id", F.col("doc_id").alias("seq"))
+    return paths_of.files_by_path(docs).select("path", "doc_id")
+
+
+@query("SELECT CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents")
+def total_bytes(spark, sf_dir):
+    return caching.total_bytes(A.read(spark, sf_dir, "documents").select(F.col("n_chars").alias("size")))
+
+
+@query(_POINTS + "SELECT key, (x - 10) * 0.5 + 640 AS sx, (y + 20) * 0.5 + 400 AS sy FROM pts")
+def to_screen(spark, sf_dir):
+    return styling.to_screen(_points(spark, sf_dir), 10.0, -20.0, 0.5, 1280.0, 800.0)
+
+
+@query(_POINTS + "SELECT key, greatest(0.03::DOUBLE, least(8.0::DOUBLE, x * 0.01)) AS scale FROM pts")
+def clamped_zoom(spark, sf_dir):
+    return _points(spark, sf_dir).select("key", styling.clamped_zoom(F.col("x"), F.lit(0.01)).alias("scale"))
+
+
+@query("""SELECT DISTINCT 'o' || customer.c_nationkey AS owner, 'r' AS repo, CASE WHEN c_nationkey % 2 = 0 THEN 'a/b' ELSE 'a' END AS ref, CASE WHEN c_nationkey % 2 = 0 THEN 'c' ELSE 'b/c' END AS sub, '' AS focus FROM customer""")
+def known_tree(spark, sf_dir):
+    """Even owners have a branch a/b, odd ones a."""
+    nation = F.col("c_nationkey")
+    owners = A.read(spark, sf_dir, "customer").select(nation, F.concat(F.lit("o"), nation).alias("owner"), F.lit("r").alias("repo")).distinct()
+    specs = owners.select("owner", "repo", F.lit("a").alias("ref"), F.lit("b/c").alias("sub"), F.lit("").alias("focus"))
+    even = nation % 2 == 0
+    manifest = owners.select("owner", "repo", F.when(even, "a/b").otherwise("a").alias("ref"), F.when(even, "c").otherwise("b/c").alias("sub"))
+    return links.known_tree(specs, manifest)
+
+
+@query(_with(_NODES) + """SELECT key, 'map?repo=o%2Fr&node=' || replace(replace(replace(replace(replace(key, '%', '%25'), ':', '%3A'), '/', '%2F'), '#', '%23'), ' ', '+') || '&map=code&depth=2' AS link, key AS node, 2 AS depth FROM nodes""")
+def share_link(spark, sf_dir):
+    link = links.share_link("map", F.lit("o"), F.lit("r"), F.lit("HEAD"), F.lit(""), F.col("key"), F.lit("code"), F.lit(2))
+    back = links.shared_view(F.col("link"))
+    return A.star_nodes(spark, sf_dir).select("key", link.alias("link")).select("key", "link", back["node"].alias("node"), back["depth"].alias("depth"))
+
+
+@query("WITH b AS (SELECT sha1(props) AS sha, any_value(props) AS text FROM events WHERE event_type = 'view' GROUP BY 1) SELECT event_id, text FROM events JOIN b ON sha1(props) = sha")
+def load_saved(spark, sf_dir):
+    events = A.read(spark, sf_dir, "events").select("event_id", "event_type", "props", F.sha1("props").alias("sha"))
+    blobs = events.where("event_type = 'view'").groupBy("sha").agg(F.first("props").alias("text"))
+    return caching.load(events.select(F.col("event_id").alias("path"), "sha"), blobs).select(F.col("path").alias("event_id"), "text")
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents")
+def saved_files(spark, sf_dir):
+    """Saved twice and loaded again."""
+    docs = A.read(spark, sf_dir, "documents")
+    files = docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    store = new_path(spark)
+    for at in (1.0, 2.0):
+        caching.save(files, store, "r", at)
+    return caching.load_saved(spark, store, "r")

@@ -51,3 +51,26 @@ def permalink(owner: str, repo: str, ref: str, kind: Column, path: Column, line:
     """Of a file or, with its lines, a symbol; null for folders and pathless nodes. line, end: from 0."""
     lines = F.when(kind == "file", F.lit("")).otherwise(F.concat(F.lit("#L"), (line + 1).cast("string"), F.lit("-L"), (end + 1).cast("string")))
     return F.when((kind != "dir") & (path != ""), F.concat(F.lit(f"https://{host}/{owner}/{repo}/blob/{ref}/"), _encoded(path), lines))
+
+
+def known_tree(specs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The columns of specs with the ref, sub and focus of their first candidate that a manifest (owner, repo, ref, sub) knows; specs of
+    which it knows none are left out."""
+    given = ["owner", "repo", "ref", "sub", "focus"]
+    asked = specs.withColumn("_spec", F.struct(*given))
+    met = splits(asked).join(manifest.select("owner", "repo", "ref", "sub").distinct(), ["owner", "repo", "ref", "sub"])
+    first = met.groupBy("_spec").agg(F.min(F.struct("k", "ref", "sub", "focus")).alias("m"))
+    return first.select("_spec.owner", "_spec.repo", "m.ref", "m.sub", "m.focus")
+
+
+def share_link(page: str, owner: Column, repo: Column, ref: Column, sub: Column, node: Column, view: Column, depth: Column) -> Column:
+    """The address that leads back to a view; HEAD and empty parts are left out, repo if owner is null."""
+    part = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}="), F.url_encode(value)))
+    parts = [part("repo", F.concat(owner, F.lit("/"), repo)), part("ref", F.when(ref != "HEAD", ref)), part("path", sub), part("node", node), part("map", view), part("depth", depth.cast("string"))]
+    return F.concat(F.lit(f"{page}?"), F.concat_ws("&", *parts))
+
+
+def shared_view(link: Column) -> Column:
+    """A struct of repo, ref, path, node, map and depth from such an address; null where a part is missing."""
+    part = lambda name: F.try_url_decode(F.nullif(F.regexp_extract(link, rf"[?&]{name}=([^&#]*)", 1), F.lit("")))
+    return F.struct(*(part(n).alias(n) for n in ("repo", "ref", "path", "node", "map")), part("depth").cast("int").alias("depth"))
