@@ -31,6 +31,7 @@ NAMES = {"rb": "gemfile rakefile podfile fastfile vagrantfile guardfile", "text"
 # Folders and files that are not read.
 SKIP_DIRS = "node_modules vendor dist build out target coverage __pycache__ venv env bower_components Pods DerivedData site-packages obj third_party external".split()
 SKIP_FILES = "package-lock.json yarn.lock pnpm-lock.yaml cargo.lock poetry.lock go.sum composer.lock gemfile.lock pipfile.lock bun.lockb flake.lock".split()
+#: Fixed patterns: generated files, and the names of tests.
 SKIP_PATTERN = r"\.min\.(js|css)$|\.map$|\.bundle\.js$|\.lock$"
 TEST_PATTERN = r"(^|/)(tests?|__tests__|spec|specs|testing|testdata|e2e)/|[._-](test|spec)s?\.[^/]+$|(^|/)test_[^/]*$|(^|/)conftest\.py$"
 TEXT_GROUPS, TEXT_BYTES, CODE_BYTES = ("text", "md", "html", "css"), 250_000, 800_000

@@ -9,6 +9,7 @@ from loomgraph.functions.paths import is_test
 
 REF, CONTAIN, DEP = 1, 2, 3
 STRUCT = ("dir", "file", "lib")
+#: Fixed: what counts as minor follows the kinds of files that repositories use.
 MINOR = r"(?i)(^|/)(tests?|__tests__|spec|specs|examples?|docs?|benchmarks?|fixtures?|scripts?)/|[._-](test|spec)s?\.|^test_|\.(md|json|ya?ml|toml|txt|html?|css)$"
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators._store import cut
-
 REF, CONTAIN, DEP = 1, 2, 3
 #: Symbols' kinds by order priority.
 KINDS = {"1": "class", "2": "type", "3": "function", "4": "method", "5": "variable"}
@@ -44,14 +42,16 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """s, t and type (the strongest of each pair): containment from the nodes, links from order lines to their parts' brands."""
-    nodes = cut(star_nodes(spark, sf_dir)) if nodes is None else nodes
+    nodes = star_nodes(spark, sf_dir) if nodes is None else nodes
     contain = nodes.where("parent_key is not null").select(F.col("parent_key").alias("s"), F.col("key").alias("t"), F.lit(CONTAIN).alias("type"))
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    links = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("s:"), "l_orderkey").alias("s"), F.concat(F.lit("l:"), "p_brand").alias("t"), F.when(F.col("l_returnflag") == "R", REF).otherwise(DEP).alias("type"))
-    known = nodes.where(F.col("key").startswith("s:")).select(F.col("key").alias("s"))
-    return contain.unionByName(links.groupBy("s", "t").agg(F.max("type").alias("type")).join(known, "s", "left_semi"))
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    known = read(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    links = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "p_brand").agg(F.max(F.when(F.col("l_returnflag") == "R", REF).otherwise(DEP)).alias("type"))
+    links = links.join(known, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")  # by the order, as they are grouped
+    return contain.unionByName(links.select(F.concat(F.lit("s:"), "l_orderkey").alias("s"), F.concat(F.lit("l:"), "p_brand").alias("t"), "type"))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,9 @@ def _with(body: str) -> str:
 
 
 def _graph(spark, sf_dir):
-    """Nodes, written once, and edges."""
+    """Nodes and edges, each written once."""
     nodes = cut(A.star_nodes(spark, sf_dir))
-    return nodes, A.star_edges(spark, sf_dir, nodes)
+    return nodes, cut(A.star_edges(spark, sf_dir, nodes))
 
 
 def _files_view(spark, sf_dir):

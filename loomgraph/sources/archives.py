@@ -14,6 +14,17 @@ from loomgraph.functions.text import is_binary
 _SCHEMA = "archive string, path string, text string, failed boolean"
 
 
+def name_of(m: zipfile.ZipInfo) -> str:
+    """A member's name: UTF-8 where the archive says so or where its bytes are, else CP437; forward slashes, from the root."""
+    name = m.filename
+    if not m.flag_bits & 0x800:  # the module read these bytes as CP437
+        try:
+            name = name.encode("cp437").decode("utf-8")
+        except UnicodeError:
+            pass
+    return name.replace("\\", "/").removeprefix("./").lstrip("/")
+
+
 def _members(batches):
     """A member at a time, so a task holds one archive and one text."""
     for batch in batches:
@@ -24,7 +35,7 @@ def _members(batches):
                 yield pa.RecordBatch.from_pydict({"archive": [name], "path": [None], "text": [None], "failed": [True]}, pa.schema([("archive", pa.string()), ("path", pa.string()), ("text", pa.string()), ("failed", pa.bool_())]))
                 continue
             for m in z.infolist():
-                path = m.filename.replace("\\", "/").removeprefix("./").lstrip("/")
+                path = name_of(m)
                 last = path.rpartition("/")[2]
                 if m.is_dir() or not last or path.startswith("__MACOSX/") or last.startswith("._") or last == ".DS_Store":
                     continue

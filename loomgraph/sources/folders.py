@@ -24,7 +24,7 @@ def without_shared_root(files: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of the wanted text files below a folder. The length's bound reaches the scan, so too long files aren't opened."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= LONGEST)
-    base = F.lit(folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/")
-    inside = found.select(F.expr("try_url_decode(replace(path, '+', '%2B'))").alias("full"), "length", "content").select(F.substring_index("full", base, -1).alias("path"), "length", "content")
+    base = folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    inside = found.withColumn("path", F.substring_index("path", base, -1))
     kept = inside.where(wanted(F.col("path"), F.col("length"))).select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
     return without_shared_root(kept.where(~is_binary(F.col("text"))))

@@ -17,6 +17,7 @@ def _decoded(part: Column) -> Column:
 def parse_link(link: Column, host: str = HOST) -> Column:
     """A struct of owner, repo, ref, sub and focus, or null."""
     s = F.regexp_replace(F.trim(link), "/+$", "")
+    # fixed patterns: the links that are accepted
     full = r"(?i)^(?:https?://)?(?:www\.)?" + host.replace(".", r"\.") + r"/([^/\s]+)/([^/\s#?]+)(?:/(tree|blob|commit|releases/tag)/([^?#\s]+))?"
     short = r"^([\w.-]+)/([\w.-]+?)(?:\.git)?$"
     at = lambda k: F.regexp_extract(s, full, k)
