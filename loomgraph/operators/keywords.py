@@ -11,12 +11,12 @@ TOP, FILES = 8, 80
 
 
 def term_counts(files: DataFrame) -> DataFrame:
-    """doc_id, word and c. Identifiers are counted first, so each different one of a file is split once."""
+    """doc_id, word and c. One shuffle: words are counted where they are read, and identifiers of small letters alone, the most, are words as they are."""
     runs = files.select("doc_id", F.explode(F.split("text", r"[^A-Za-z0-9_]+")).alias("run"))
     ids = runs.select("doc_id", F.ltrim("run", F.lit("0123456789")).alias("ident")).where(F.length("ident") >= 2)
-    counted = ids.groupBy("doc_id", "ident").agg(F.count("*").alias("n"))
-    words = counted.select("doc_id", "n", F.explode(camel_words(F.col("ident"))).alias("w")).select("doc_id", "n", stem(F.lower("w")).alias("word"))
-    return words.where((F.length("word") >= 3) & ~F.col("word").isin(STOP)).groupBy("doc_id", "word").agg(F.sum("n").alias("c"))
+    parts = F.when(F.col("ident").rlike("^[a-z]+$"), F.array("ident")).otherwise(camel_words(F.col("ident")))
+    words = ids.select("doc_id", F.explode(parts).alias("w")).select("doc_id", stem(F.lower("w")).alias("word"))
+    return words.where((F.length("word") >= 3) & ~F.col("word").isin(STOP)).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
 
 
 def document_counts(terms: DataFrame) -> DataFrame:
