@@ -42,6 +42,11 @@ def grams_of_column(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.append(0, np.cumsum(size))
 
 
+def grams_of_texts(text: pa.Array, n: int = N) -> list[np.ndarray]:
+    elements, offsets = grams_of_column(text, n)
+    return np.split(elements, offsets[1:-1])
+
+
 def grams_of(text: str) -> np.ndarray:
     return grams_of_column(pa.array([text]))[0]
 
@@ -89,7 +94,7 @@ def ngram_classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, r
     found = _near.candidates(_near.combine(one.select(F.explode("bands").alias("band"), "cid")), scratch)
     wanted = scratch.keep(_near.with_blocks(one.join(found, "cid").select("cid", "comp", "n", "copies", "of"), **cells), "wanted")
     members = _near.sieved(view, wanted.select("of.th")).join(wanted, F.col("_key") == wanted["of"]).select("cid", "comp", "blocks", "copies", "text")
-    linked = _near.classes(_near.in_cells(members, lambda t: grams_of_column(pa.array([t]), n)[0], similarity), scratch)
+    linked = _near.classes(_near.in_cells(members, lambda t: grams_of_texts(t, n), similarity), scratch)
     named = one.join(linked, "cid", "left").select("cid", "copies", "rep", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("weighted", F.lit(0)).alias("weighted"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = named.join(least, "root").select(F.col("cid").alias("_cid"), "root", "class_id", F.col("links").alias("n_text_links"), (F.col("weighted") + F.col("copies") - 1).alias("n_links"))
