@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from loomgraph.llm import divergence
+from loomgraph.llm.alignment import op12_token_alignment
 from loomgraph.llm.decontaminate import op7_decontamination
 from loomgraph.llm.divergence import op11_source_divergence
 from loomgraph.llm.lengths import op1_token_counts
@@ -15,7 +16,7 @@ from loomgraph.llm.substrings import op9_substring_dedup
 from loomgraph.llm.toxicity import op2_toxicity
 from loomgraph.llm.warc import op5_warc
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_warc, op6_best_fit_packing, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_lm_scoring, op11_source_divergence, op13_source_mixing)}
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_toxicity, op3_line_dedup, op4_ngram_jaccard_join, op5_warc, op6_best_fit_packing, op7_decontamination, op8_quality_rules, op9_substring_dedup, op10_lm_scoring, op11_source_divergence, op12_token_alignment, op13_source_mixing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {"op11_source_divergence": divergence.SQL}
