@@ -106,7 +106,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5
 
 def slots(sources: DataFrame, bits: int) -> DataFrame:
     """slot, sid and rank (of the slot among its source's, from 0)."""
-    runs = sources.where("slots > 0").select("sid", "lo", "hi", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_AT_ONCE}"))).alias("run")).repartition("sid", "run")
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, else these few rows would be put together again before they grow
+    runs = sources.where("slots > 0").select("sid", "lo", "hi", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {SLOTS_AT_ONCE}"))).alias("run")).repartition(tasks, "sid", "run")
     first = F.col("lo") + F.col("run") * SLOTS_AT_ONCE
     points = runs.select("sid", "lo", "hi", F.explode(F.sequence(first, F.least(first + SLOTS_AT_ONCE, F.col("hi")) - 1)).alias("p"))
     # earlier slots: for each one bit of p, those that share p's lower bits and have a zero there; they lie 2**(u + 1) apart
@@ -135,7 +136,8 @@ def schedule(mix: Mix, repeats: int = 2) -> DataFrame:
     met = span.withColumn("first", block("a")).withColumn("final", block("(e - 1)")).withColumn("rank", F.explode(F.sequence("first", "final")))
     met = met.withColumn("from", F.greatest("a", F.expr(_edge("rank")))).withColumn("to", F.least("e", F.expr(_edge("(rank + 1)"))))
     pieces = met.select("sid", "rank", "source", "doc_id", "th", "bucket", "rn", (F.col("from") - F.col("a")).alias("start"), (F.col("to") - F.col("from")).alias("words"))
-    return slots(mix.sources, mix.bits).join(pieces, ["sid", "rank"]).select("slot", "source", "doc_id", "th", "sid", "bucket", "rn", "start", "words")
+    # both sides grow with the corpus, which their sizes ahead of the explosions don't show
+    return slots(mix.sources, mix.bits).hint("merge").join(pieces, ["sid", "rank"]).select("slot", "source", "doc_id", "th", "sid", "bucket", "rn", "start", "words")
 
 
 def taken_words(mix: Mix, repeats: int = 2) -> DataFrame:
