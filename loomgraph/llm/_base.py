@@ -19,10 +19,12 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset one of our own, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="loomgraph-"))
     return "file://" + _LOCAL[0].name

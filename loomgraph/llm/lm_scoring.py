@@ -30,6 +30,8 @@ FREQUENT = 65_536
 FLUSH_WORDS = 400_000
 #: Characters of words that go through the lattice at once.
 LATTICE_CHARS = 120_000
+#: Longer words go through the lattice alone, in pieces of about the square root of their length at once.
+LONG_CHARS = 1_000
 MARK = "▁"
 _UPPER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
@@ -44,6 +46,41 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _steps(seeds: np.ndarray, lps: np.ndarray) -> np.ndarray:
+    """The recursion a[j] = log(sum over s of exp(a[j - s] + lps[s - 1, j - s])) along many stretches at once. seeds: ... x stretch x L, the
+    values before each stretch, the last one last; lps: L x stretch x (L + n), by where a piece begins. Gives ... x stretch x (L + n)."""
+    longest, n = len(lps), lps.shape[2] - len(lps)
+    out = np.full((*seeds.shape[:-1], longest + n), -np.inf)
+    out[..., :longest] = seeds
+    for j in range(longest, longest + n):
+        got = out[..., j - 1] + lps[0, :, j - 1]
+        for s in range(2, longest + 1):
+            got = np.logaddexp(got, out[..., j - s] + lps[s - 1, :, j - s])
+        out[..., j] = got
+    return out
+
+
+def forward(lps: np.ndarray) -> np.ndarray:
+    """alpha[j], the log probability of a word's first j characters, from lps[s - 1, i], that of the piece of s characters at i (-inf: none).
+
+    The word is cut into stretches. What a stretch makes of the values before it is linear (in probabilities), so all stretches are
+    run at once from unit vectors, their effects are applied one after the other, and all are run again from the true values."""
+    longest, size = lps.shape
+    n = max(math.isqrt(size), longest)
+    count = -(-size // n)
+    padded = np.full((longest, longest + count * n), -np.inf)
+    padded[:, longest - 1 : longest - 1 + size] = lps
+    cut = np.lib.stride_tricks.sliding_window_view(padded, longest + n, axis=1)[:, ::n]
+    unit = np.full((longest, count, longest), -np.inf)
+    unit[np.arange(longest), :, np.arange(longest)] = 0
+    made = np.concatenate([_steps(unit[:, k : k + 64], cut[:, k : k + 64])[..., -longest:] for k in range(0, count, 64)], axis=1)
+    seeds = np.full((count, longest), -np.inf)
+    seeds[0, -1] = 0
+    for k in range(1, count):
+        seeds[k] = np.logaddexp.reduce(seeds[k - 1][:, None] + made[:, k - 1], axis=0)
+    return np.append(0.0, _steps(seeds, cut)[:, longest:].reshape(-1))[: size + 1]
+
+
 class Lattice:
     """Pieces as hashes of their characters, with natural-log probabilities; the last entry is the end."""
 
@@ -96,7 +133,7 @@ class Lattice:
         k = 0
         while k < len(order):
             total = np.cumsum(size[order[k : k + LATTICE_CHARS]])
-            n = max(int(np.searchsorted(total, LATTICE_CHARS, "right")), 1)
+            n = 1 if size[order[k]] > LONG_CHARS else max(int(np.searchsorted(total, LATTICE_CHARS, "right")), 1)
             some = order[k : k + n]
             out[some] = self._run([texts[i] for i in some], size[some], None if weights is None else weights[some], expected)
             k += n
@@ -116,6 +153,9 @@ class Lattice:
         alpha = np.full(len(units) + len(texts), -np.inf)
         alpha[first] = 0
         longest = int(size[0]) if len(size) else 0
+        if longest > LONG_CHARS:
+            alpha = forward(np.stack(lps))
+            longest = 0
         reach = np.searchsorted(-size, -np.arange(longest + 1), "right")
         for j in range(1, longest + 1):
             n = reach[j]
@@ -127,6 +167,11 @@ class Lattice:
         if expected is not None:
             beta = np.full(len(alpha), -np.inf)
             beta[first + size] = 0
+            if len(texts) == 1 and size[0] > LONG_CHARS:
+                turned = np.full((len(lps), int(size[0])), -np.inf)
+                for s, lp in enumerate(lps, 1):
+                    turned[s - 1, : size[0] - s + 1] = lp[: size[0] - s + 1][::-1]
+                beta = forward(turned)[::-1]
             for j in range(longest - 1, -1, -1):
                 n = reach[j + 1]
                 got = np.full(n, -np.inf)

@@ -96,3 +96,32 @@ def test_odd_rows(spark, frequent):
             assert (not r["train"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:4] and math.isclose(r["base_score"], want[r["doc_id"]][4], rel_tol=1e-9)
     assert m.score(none(spark), F.lit(True)).count() == 0
     assert all(r["base_score"] == 0 and math.isfinite(r["score"]) for r in m.score(odd(spark), F.lit(False)).collect())
+
+
+def test_long_words(monkeypatch):
+    """A word of a million characters takes seconds, and stretches give what single steps give."""
+    import random
+    import time
+
+    r = random.Random(3)
+    lattice = m.vocabulary(m.default_path())
+    words = ["".join(r.choice("etaoinshrdlu▁") for _ in range(n)).encode() for n in (1000, 1001, 1500, 4097)] + ["é中\U0001f600x".encode() * 600]
+    weights = np.arange(1.0, len(words) + 1)
+    got, expected = lattice.marginals(words, weights)
+    monkeypatch.setattr(m, "LONG_CHARS", 10**9)
+    want, plain = lattice.marginals(words, weights)
+    assert np.allclose(got, want, rtol=0, atol=1e-6) and np.allclose(expected, plain, rtol=1e-8, atol=1e-5)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    lp, expected = lattice.marginals(["".join(r.choice("etaoin") for _ in range(10**6)).encode()], np.ones(1))
+    assert time.perf_counter() - began < 60 and np.isfinite(lp[0])
+    sizes = [len(p) for p in lattice_pieces(lattice)]
+    assert abs(sum(n * c for n, c in zip(sizes, expected)) - (10**6 + 1)) < 5  # the expected pieces, bytes among them, cover the word and its mark
+
+
+def lattice_pieces(lattice):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=m.default_path())
+    used = [i for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_unknown(i)]
+    return ["b" if sp.is_byte(i) else sp.id_to_piece(i) for i in used]
