@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,60 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("doc_id"), F.lit(by)) + 1).cast("int"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return docs.select("doc_id", F.concat(F.col("source"), F.lit("/"), pick(FOLDERS, len(FOLDERS)), F.lit("/f"), F.col("doc_id").cast("string"), pick(ENDINGS, len(ENDINGS))).alias("path"), (F.col("n_chars") * 100).alias("size"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and text of a repository made of the documents and pages: each text under a head of imports in one of five languages, which name
+    other files of it (by folder, ending, alias or not at all), libraries, addresses, and imports in comments and strings."""
+    docs = read(spark, sf_dir, "documents")
+    own = lambda template: F.concat(*(F.col(x[1:]) if _PLACE.fullmatch(x) else F.lit(x) for x in template))
+    ids = {f"i{k}": (F.col("doc_id") - k).cast("string") for k in (0, 6, 12, 60, -5, -11)}
+    d = docs.withColumns({"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), **ids}).withColumn("k", F.pmod("doc_id", F.lit(6)))
+    path = (
+        F.when(F.expr("k = 0 and doc_id % 12 = 0"), own(["src/", "@source", "/d", "@i0", "/util.lua"])).when(F.expr("k = 0 and doc_id % 18 = 6"), own(["src/", "@source", "/m", "@i0", "/init.lua"]))
+        .when(F.col("k") == 0, own(["src/", "@source", "/m", "@i0", ".lua"])).when(F.col("k") == 1, own(["bin/", "@lang", "/s", "@i0", ".sh"]))
+        .when(F.expr("k = 2 and doc_id % 4 = 2"), own(["web/", "@source", "/_c", "@i0", ".css"])).when(F.col("k") == 2, own(["web/", "@source", "/c", "@i0", ".scss"]))
+        .when(F.expr("k = 3 and doc_id % 4 = 3"), own(["docs/p", "@i0", "/README.md"])).when(F.col("k") == 3, own(["docs/", "@source", "/", "@lang", "/p", "@i0", ".md"]))
+        .when(F.col("k") == 4, own(["web/h", "@i0", ".html"])).when(F.expr("doc_id % 4 = 1"), own(["web/app", "@i0", "/index.js"])).otherwise(own(["web/app", "@i0", ".ts"])))
+    heads = [own([x for x in _PLACE.split(h) if x]) for h in HEADS]
+    head = F.element_at(F.array(*heads), (F.col("k") + 1).cast("int"))
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), "page_id", F.lit(".html")).alias("path"), F.concat(F.lit('<link href="/web/app'), (F.col("page_id") * 6 + 5).cast("string"), F.lit('"/>'), F.coalesce("html", F.lit(""))).alias("text"))
+    return d.where("doc_id is not null").select(path.alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text")).unionByName(pages)
+
+
+_PLACE = re.compile(r"(@i-?\d+|@source|@lang)")
+#: The heads of code_files, by doc_id modulo 6; @i6 is the doc_id less 6, and so on.
+HEADS = [
+    """local a = require "m@i6"
+local b = require("src.@source.m@i12")
+-- require "m@i12"
+local s = "say \\" require 'x'" local u = require 'util'
+local c = require 'socket.http', require 'src.@source.m@i60'
+--[[
+require "m@i6"
+]]
+""",
+    """#!/bin/sh
+. ./s@i6.sh
+source "../@lang/s@i12.sh"
+  source lib/common.sh # source ./x.sh
+echo ". ./s@i12.sh"
+. $HOME/x.sh
+. ./s@i60.sh
+. /etc/s@i6.sh
+# . ./s@i12.sh
+""",
+    """@import "c@i6"; @import "c@i60";
+@use url(../@source/c@i12.scss);
+@import "https://x.org/a.css";
+@forward '/web/@source/c@i6';
+@import "../../../../c.css";
+""",
+    """[a](../@lang/p@i6.md) [b](</docs/p@i12>) [c](http://x.org/) [d](%70@i6.md#top) [e](100%.md) [f](p@i60.md)
+[ref]: <../../p@i12/>
+""",
+    """<script async src="app@i-11.js?v=1"></script><LINK rel=x href='/web/app@i-5'><img src="//cdn/x.png">
+<script>import { x, y } from "./app@i-5/index"; import "./h@i6.html"</script>
+""",
+    "export const n = @i0\n",
+]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import imports as I
 from loomgraph.functions import paths as P
 from loomgraph.functions import text as T
-from loomgraph.operators import caching, keywords, lookup, neighborhood, styling, views
+from loomgraph.operators import caching, imports, keywords, lookup, neighborhood, styling, views
 from loomgraph.operators import paths as paths_of
 from loomgraph.operators._store import cut, new_path
 from loomgraph.plans import adapters as A
@@ -667,3 +668,78 @@ def saved_files(spark, sf_dir):
     for at in (1.0, 2.0):
         caching.save(files, store, "r", at)
     return caching.load_saved(spark, store, "r")
+
+
+# ---- imports ---------------------------------------------------------------------------------------------------------
+
+
+def _sql_text(template: str) -> str:
+    """A head of adapters.code_files as SQL."""
+    names = {"@source": "source", "@lang": "lang"}
+    value = lambda x: names.get(x) or (f"CAST(doc_id - ({x[2:]}) AS VARCHAR)" if A._PLACE.fullmatch(x) else "'" + x.replace("'", "''") + "'")
+    return " || ".join(value(x) for x in A._PLACE.split(template) if x)
+
+
+def _re2(group: str, k: int) -> str:
+    """A pattern without what Java needs and RE2 lacks."""
+    return I.pattern(group, k).replace("*+", "*").replace("(?mdi)", "(?mi)").replace("(?md)", "(?m)").replace("'", "''")
+
+
+_GROUPS = {"lua": ("lua",), "sh": ("sh",), "css": ("css", "scss"), "md": ("md",), "html": ("html",)}
+_CODE_FILES = f"""d AS (SELECT doc_id, ((doc_id % 6) + 6) % 6 AS k, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS body, CAST(doc_id AS VARCHAR) AS i FROM documents WHERE doc_id IS NOT NULL),
+ files AS (SELECT CASE k WHEN 0 THEN CASE WHEN doc_id % 12 = 0 THEN 'src/' || source || '/d' || i || '/util.lua' WHEN doc_id % 18 = 6 THEN 'src/' || source || '/m' || i || '/init.lua' ELSE 'src/' || source || '/m' || i || '.lua' END
+   WHEN 1 THEN 'bin/' || lang || '/s' || i || '.sh' WHEN 2 THEN 'web/' || source || CASE WHEN doc_id % 4 = 2 THEN '/_c' || i || '.css' ELSE '/c' || i || '.scss' END
+   WHEN 3 THEN CASE WHEN doc_id % 4 = 3 THEN 'docs/p' || i || '/README.md' ELSE 'docs/' || source || '/' || lang || '/p' || i || '.md' END
+   WHEN 4 THEN 'web/h' || i || '.html' ELSE CASE WHEN doc_id % 4 = 1 THEN 'web/app' || i || '/index.js' ELSE 'web/app' || i || '.ts' END END AS path,
+   CASE k {" ".join(f"WHEN {k} THEN {_sql_text(h)}" for k, h in enumerate(A.HEADS))} END || body AS text FROM d
+  UNION ALL SELECT 'site/' || CAST(page_id AS VARCHAR) || '.html', '<link href="/web/app' || CAST(page_id * 6 + 5 AS VARCHAR) || '"/>' || coalesce(html, '') FROM pages),
+ typed AS (SELECT path, text, CASE regexp_extract(path, '[^.]*$') {" ".join(f"WHEN '{e}' THEN '{g}'" for g, es in _GROUPS.items() for e in es)} END AS grp FROM files),
+ listed AS (SELECT path, grp, CASE grp {" ".join(f"WHEN '{g}' THEN " + " || ".join(f"list_filter(regexp_extract_all(text, '{_re2(g, k)}', 1), lambda x: x <> '')" for k in range(len(I.IMPORT[g]))) for g in _GROUPS)} END AS specs FROM typed),
+ imported AS (SELECT path, grp, CAST(unnest(range(len(specs))) AS INTEGER) AS n, trim(unnest(specs)) AS spec FROM listed WHERE grp IS NOT NULL)"""
+
+
+def _sql_endings(path: str, endings: list[str]) -> str:
+    return ", ".join(f"{path} || '{e}'" for e in endings)
+
+
+# join(folder, spec), by its segments: "." and empty ones go, ".." takes the last one off, and off the root there is none
+_SQL_JOIN = """(SELECT CASE WHEN way.bad THEN NULL ELSE array_to_string(way.segs, '/') END FROM (SELECT list_reduce(list_prepend({'segs': CASE WHEN folder = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(folder, '/') END, 'bad': FALSE, 's': ''},
+   list_transform(string_split(%s, '/'), lambda x: {'segs': CAST([] AS VARCHAR[]), 'bad': FALSE, 's': x})),
+   lambda a, b: {'segs': CASE WHEN b.s IN ('', '.') THEN a.segs WHEN b.s = '..' THEN a.segs[1:len(a.segs) - 1] ELSE list_append(a.segs, b.s) END, 'bad': a.bad OR (b.s = '..' AND len(a.segs) = 0), 's': ''}) AS way) q)"""
+_HERE = lambda s: f"CASE WHEN starts_with({s}, '/') THEN substr({s}, 2) ELSE {_SQL_JOIN % s} END"
+_RESOLVED = _CODE_FILES + f""", asked AS (SELECT DISTINCT path, grp, spec, regexp_replace(path, '/?[^/]*$', '') AS folder, regexp_matches(spec, '{imports.EXTERNAL}') AS away FROM imported WHERE spec <> ''),
+ based AS (SELECT *, CASE grp WHEN 'lua' THEN replace(spec, '.', '/') WHEN 'sh' THEN {_SQL_JOIN % "spec"} WHEN 'css' THEN {_HERE("spec")}
+   WHEN 'md' THEN regexp_replace({_HERE("coalesce(CASE WHEN regexp_matches(split_part(spec, '#', 1), '%(?:[^0-9A-Fa-f]|[0-9A-Fa-f](?:[^0-9A-Fa-f]|$)|$)') THEN NULL ELSE url_decode(split_part(spec, '#', 1)) END, split_part(spec, '#', 1))")}, '/$', '')
+   WHEN 'html' THEN regexp_replace({_HERE("regexp_replace(spec, '[?#].*$', '')")}, '/$', '') END AS b FROM asked),
+ options AS (SELECT path, grp, spec, unnest(CASE WHEN grp = 'lua' THEN [b || '.lua', b || '/init.lua'] WHEN grp = 'sh' AND NOT contains(spec, '$') THEN [b, regexp_replace(spec, '^([.][.]?/)+', '')]
+   WHEN grp = 'css' AND NOT away THEN [{_sql_endings("b", imports.STYLE_ENDINGS)}, {_sql_endings("regexp_replace(b, '^(.*/)?', '" + chr(92) + "1_')", imports.STYLE_ENDINGS)}] WHEN grp = 'md' AND NOT away THEN [b, b || '/README.md']
+   WHEN grp = 'html' AND NOT away THEN [b, {_sql_endings("b", imports.SCRIPT_ENDINGS)}, {_sql_endings("CASE b WHEN '' THEN 'index' ELSE b || '/index' END", imports.SCRIPT_ENDINGS)},
+    {", ".join("CASE WHEN regexp_matches(b, '" + chr(92) + ".[mc]?jsx?$') THEN regexp_replace(b, '" + chr(92) + ".[mc]?jsx?$', '') || '" + e + "' END" for e in imports.TYPED_ENDINGS)}] END) AS want, unnest(range(40)) AS nth FROM based),
+ met AS (SELECT o.path, grp, spec, nth, f.path AS target FROM options o JOIN (SELECT DISTINCT path FROM files) f ON CASE WHEN grp = 'lua' OR (grp = 'sh' AND nth = 1) THEN f.path = want OR suffix(f.path, '/' || want) ELSE f.path = want END WHERE want IS NOT NULL),
+ chosen AS (SELECT path, grp, spec, target FROM met QUALIFY row_number() OVER (PARTITION BY path, grp, spec ORDER BY nth, (SELECT count(*) FROM range(1, least(length(path), length(target)) + 1) r(n) WHERE left(path, n) = left(target, n)) DESC, target) = 1),
+ resolved AS (SELECT a.path, a.grp, a.spec, target, CASE WHEN target IS NULL AND a.grp = 'lua' AND split_part(a.spec, '.', 1) <> '' THEN split_part(a.spec, '.', 1) END AS lib FROM asked a LEFT JOIN chosen c ON a.path = c.path AND a.spec = c.spec)"""
+
+
+def _imports(spark, sf_dir):
+    files = cut(A.code_files(spark, sf_dir))
+    return files, cut(imports.imports_of(files))
+
+
+@query("WITH " + _CODE_FILES + " SELECT path, grp, n, spec FROM imported WHERE spec <> ''")
+def imports_of(spark, sf_dir):
+    """What the files of five languages import."""
+    return imports.imports_of(A.code_files(spark, sf_dir))
+
+
+@query("WITH " + _RESOLVED + " SELECT path, grp, spec, target, lib FROM resolved WHERE target IS NOT NULL OR lib IS NOT NULL")
+def resolve_paths(spark, sf_dir):
+    """The file or library that each import names."""
+    files, found = _imports(spark, sf_dir)
+    return imports.resolve_paths(found, files)
+
+
+@query("WITH " + _RESOLVED + " SELECT DISTINCT 'f:' || path AS s, coalesce('f:' || target, 'l:' || lib) AS t, CASE WHEN grp = 'md' AND target IS NOT NULL THEN 1 ELSE 3 END AS type FROM resolved WHERE (target IS NOT NULL AND target <> path) OR lib IS NOT NULL")
+def import_edges(spark, sf_dir):
+    """A file's links to what it imports."""
+    files, found = _imports(spark, sf_dir)
+    return imports.import_edges(imports.resolve_paths(found, files))
