@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import imports as I
 from loomgraph.functions import paths as P
 from loomgraph.functions import text as T
-from loomgraph.operators import caching, imports, keywords, lookup, neighborhood, styling, views
+from loomgraph.operators import caching, identifiers, imports, keywords, lookup, neighborhood, styling, views
 from loomgraph.operators import paths as paths_of
 from loomgraph.operators._store import cut, new_path
 from loomgraph.plans import adapters as A
@@ -743,3 +743,57 @@ def import_edges(spark, sf_dir):
     """A file's links to what it imports."""
     files, found = _imports(spark, sf_dir)
     return imports.import_edges(imports.resolve_paths(found, files))
+
+
+# ---- identifiers -----------------------------------------------------------------------------------------------------
+
+_SYMBOLS = """files AS (SELECT c_custkey, 'f:' || CAST(c_custkey AS VARCHAR) AS file, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'go' WHEN 'BUILDING' THEN 'jvm' WHEN 'FURNITURE' THEN 'js' WHEN 'HOUSEHOLD' THEN 'c' WHEN 'MACHINERY' THEN 'py' END AS grp,
+  n_name AS folder, CASE WHEN c_mktsegment = 'BUILDING' THEN 'p' || CAST(c_nationkey % 5 AS VARCHAR) END AS package FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ own AS (SELECT o.*, file FROM orders o JOIN files ON o_custkey = c_custkey),
+ first AS (SELECT file, min(o_orderkey) AS class FROM own WHERE o_orderpriority LIKE '1%' GROUP BY file),
+ defs AS (SELECT 's:' || CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderkey % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'h' || CAST(o_orderkey % 40 AS VARCHAR) WHEN 2 THEN 'n' || CAST(o_orderkey % 1000 AS VARCHAR) WHEN 3 THEN 'a' || CAST(o_orderkey AS VARCHAR) ELSE 'g' || CAST(o_custkey % 300 AS VARCHAR) END AS name,
+  own.file, CASE WHEN regexp_matches(o_orderpriority, '^[345]') AND class < o_orderkey THEN 's:' || CAST(class AS VARCHAR) ELSE own.file END AS parent_key, o_orderstatus <> 'P' AS shown FROM own LEFT JOIN first ON own.file = first.file),
+ uses AS (SELECT file, 's:' || CAST(l_orderkey AS VARCHAR) AS owner, CASE l_linenumber % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'h' || CAST(l_partkey % 40 AS VARCHAR) WHEN 2 THEN 'n' || CAST(l_partkey * 7 % 1000 AS VARCHAR) WHEN 3 THEN 'a' || CAST(l_orderkey + 3 - l_orderkey % 5 AS VARCHAR) ELSE 'g' || CAST((l_suppkey * 3 + l_partkey) % 300 AS VARCHAR) END AS name,
+  l_returnflag = 'R' AS member FROM lineitem JOIN own ON l_orderkey = o_orderkey),
+ imported AS (SELECT DISTINCT file, 'f:' || CAST(unnest([c_custkey + 1, c_custkey + 5, c_custkey + 10, c_custkey * 2]) AS VARCHAR) AS target FROM files),
+ hidden AS (SELECT 's:' || CAST(o_orderkey AS VARCHAR) AS key, unnest(['h' || CAST(o_orderkey % 40 AS VARCHAR), 'n' || CAST(o_orderkey % 1000 AS VARCHAR), 'h1']) AS name FROM own WHERE o_orderkey % 3 = 0),
+ external AS (SELECT file, unnest(['h' || CAST(c_custkey % 40 AS VARCHAR), 'g' || CAST(c_custkey % 300 AS VARCHAR), 'h3']) AS name FROM files WHERE c_custkey % 4 = 0),
+ chain AS (SELECT key, key AS around FROM defs UNION SELECT chain.key, d.parent_key FROM chain JOIN defs d ON d.key = chain.around),
+ open_uses AS (SELECT * FROM uses u WHERE NOT EXISTS (SELECT 1 FROM chain JOIN hidden ON hidden.key = chain.around WHERE chain.key = u.owner AND hidden.name = u.name)),
+ free_uses AS (SELECT * FROM open_uses u WHERE NOT EXISTS (SELECT 1 FROM external e WHERE e.file = u.file AND e.name = u.name) OR EXISTS (SELECT 1 FROM defs d WHERE d.file = u.file AND d.name = u.name))"""
+# every use with every candidate of its name, and which rule it comes by; the first rule with a candidate counts, and then only with six at most
+_MEANT = _SYMBOLS + """, pairs AS (
+  SELECT u.file, u.owner, u.name, u.member, d.key, 0 AS tier FROM free_uses u JOIN defs d ON d.file = u.file AND d.name = u.name
+  UNION ALL SELECT u.file, u.owner, u.name, u.member, d.key, unnest(CASE WHEN i.target IS NOT NULL THEN [1, 3] ELSE [3] END || CASE WHEN a.grp IN ('go', 'jvm', 'cs', 'swift') AND CASE WHEN a.package IS NOT NULL THEN a.package = b.package AND (u.member OR d.parent_key = d.file) ELSE a.folder = b.folder END THEN [2] ELSE [] END)
+   FROM (SELECT DISTINCT file, owner, name, member FROM free_uses) u JOIN files a ON a.file = u.file JOIN defs d ON d.name = u.name AND d.shown JOIN files b ON b.file = d.file AND a.grp = b.grp LEFT JOIN imported i ON i.file = u.file AND i.target = d.file),
+ counted AS (SELECT DISTINCT *, count(DISTINCT key) OVER (PARTITION BY file, owner, name, member, tier) AS n, max(CASE WHEN tier = 3 THEN 1 ELSE 0 END * 0) OVER (PARTITION BY file, owner, name, member) AS z, min(tier) OVER (PARTITION BY file, owner, name, member) AS best FROM pairs),
+ alls AS (SELECT file, owner, name, member, count(DISTINCT key) AS total FROM pairs WHERE tier = 3 GROUP BY ALL),
+ meant AS (SELECT c.owner, c.key, CASE WHEN tier = 3 AND (n > 1 OR grp IN ('js', 'py', 'rs', 'jvm')) THEN 1 ELSE 3 END AS type FROM counted c JOIN files f ON f.file = c.file LEFT JOIN alls a ON a.file = c.file AND a.owner = c.owner AND a.name = c.name AND a.member = c.member
+  WHERE tier = best AND n <= 6 AND (tier = 0 OR total <= 200)),
+ linked AS (SELECT m.owner, m.key, max(m.type) AS type FROM meant m LEFT JOIN defs d ON d.key = m.key LEFT JOIN defs o ON o.key = m.owner WHERE m.owner <> m.key AND d.parent_key <> m.owner AND o.parent_key <> m.key GROUP BY m.owner, m.key)"""
+_MEANT = _MEANT.replace(" max(CASE WHEN tier = 3 THEN 1 ELSE 0 END * 0) OVER (PARTITION BY file, owner, name, member) AS z,", "")
+
+
+def _open_uses(spark, sf_dir):
+    t = {n: cut(df) for n, df in A.symbol_tables(spark, sf_dir).items()}
+    return t, identifiers.unshadowed(t["uses"], t["defs"].select("key", "parent_key"), t["locals"])
+
+
+@query("WITH RECURSIVE " + _SYMBOLS + " SELECT DISTINCT owner, name FROM open_uses")
+def unshadowed_uses(spark, sf_dir):
+    """Names that no symbol around their use has for a parameter or variable."""
+    return _open_uses(spark, sf_dir)[1].select("owner", "name").distinct()
+
+
+@query("WITH RECURSIVE " + _SYMBOLS + " SELECT DISTINCT owner, name FROM free_uses")
+def free_uses(spark, sf_dir):
+    """Of those, the ones that are not a library's."""
+    t, uses = _open_uses(spark, sf_dir)
+    return identifiers.without_external(uses, t["defs"], t["external"]).select("owner", "name").distinct()
+
+
+@query("WITH RECURSIVE " + _MEANT + " SELECT owner, key, type FROM linked")
+def identifier_links(spark, sf_dir):
+    """The links of uses to definitions."""
+    t, uses = _open_uses(spark, sf_dir)
+    return identifiers.meanings(identifiers.without_external(uses, t["defs"], t["external"]), t["defs"], t["files"], t["imported"])
