@@ -157,3 +157,21 @@ def symbol_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 #: Language groups that market segments stand for.
 SEGMENT_GROUPS = {"AUTOMOBILE": "go", "BUILDING": "jvm", "FURNITURE": "js", "HOUSEHOLD": "c", "MACHINERY": "py"}
+
+
+def indented_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of the documents as those of source files (file, grp, line, text), with an indentation and a beginning that follow from their lengths, and
+    those of them that define something (file, nth, line)."""
+    docs = read(spark, sf_dir, "documents").where("doc_id is not null")
+    grp = F.element_at(F.array(*map(F.lit, ["js", "py", "rb", "c", "go", "sql"])), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    lines = docs.select(F.col("doc_id").alias("file"), grp.alias("grp"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
+    size = F.length("said")
+    lead = F.when(size == 0, "").otherwise(F.element_at(F.array(*map(F.lit, LEADS)), ((size * 7 + F.col("line") * 3) % len(LEADS) + 1).cast("int")))
+    start = F.when(size == 0, "").otherwise(F.element_at(F.array(*map(F.lit, STARTS)), ((size + F.col("line")) % len(STARTS) + 1).cast("int")))
+    made = lines.select("file", "grp", "line", F.concat(lead, start, F.when(size % 5 > 0, F.col("said")).otherwise(F.lit(""))).alias("text"), (size % 3 == 1).alias("defines"))
+    return made.drop("defines"), made.where("defines").select("file", F.col("line").alias("nth"), "line")
+
+
+#: What lines begin with in turn: indentations, then marks.
+LEADS = ["", "  ", "", "    ", "\t", " \t", "", "  "]
+STARTS = ["", "{", "}", "", "case x: ", "} else {", "end ", "# ", "", "rescue ", "tag:"]

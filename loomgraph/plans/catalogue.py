@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import imports as I
 from loomgraph.functions import paths as P
 from loomgraph.functions import text as T
-from loomgraph.operators import caching, identifiers, imports, keywords, lookup, neighborhood, styling, views
+from loomgraph.operators import blocks, caching, identifiers, imports, keywords, lookup, neighborhood, styling, views
 from loomgraph.operators import paths as paths_of
 from loomgraph.operators._store import cut, new_path
 from loomgraph.plans import adapters as A
@@ -797,3 +797,35 @@ def identifier_links(spark, sf_dir):
     """The links of uses to definitions."""
     t, uses = _open_uses(spark, sf_dir)
     return identifiers.meanings(identifiers.without_external(uses, t["defs"], t["external"]), t["defs"], t["files"], t["imported"])
+
+
+# ---- bodies of definitions -------------------------------------------------------------------------------------------
+
+_LISTED = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+_BLOCKS = rf"""raw AS (SELECT doc_id AS file, ['js', 'py', 'rb', 'c', 'go', 'sql'][((doc_id % 6) + 6) % 6 + 1] AS grp, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL),
+ said AS (SELECT file, grp, CAST(unnest(range(len(parts))) AS INTEGER) AS line, unnest(parts) AS said FROM raw),
+ l AS (SELECT *, length(regexp_extract(text, '^[ \t]*')) + 3 * (length(regexp_extract(text, '^[ \t]*')) - length(replace(regexp_extract(text, '^[ \t]*'), chr(9), ''))) AS depth, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM (
+  SELECT file, grp, line, length(said) % 3 = 1 AS defines, CASE WHEN said = '' THEN '' ELSE {_LISTED(A.LEADS)}[(length(said) * 7 + line * 3) % {len(A.LEADS)} + 1] || {_LISTED(A.STARTS)}[(length(said) + line) % {len(A.STARTS)} + 1] || CASE WHEN length(said) % 5 > 0 THEN said ELSE '' END END AS text FROM said) x),
+ m AS (SELECT *, CASE WHEN grp IN ('js', 'go') THEN regexp_matches(bare, '^([A-Za-z_$][A-Za-z0-9_$]*:\s*$|case\b|default\s*:)') WHEN grp = 'c' THEN regexp_matches(bare, '^(#|[A-Za-z_][A-Za-z0-9_]*:\s*$|case\b|default\s*:)') WHEN grp = 'rb' THEN regexp_matches(bare, '^(rescue|ensure|elsif|when|else)\b') ELSE FALSE END AS skip,
+  starts_with(bare, '{{') AS brace, regexp_matches(bare, '^[)\]}}]') AS closes, regexp_matches(bare, '([\[{{(:]|=>)$') AS opens, regexp_matches(bare, '^end\b') AS word FROM l WHERE bare <> ''),
+ stops AS (SELECT d.file, d.line, d.depth, min(k.line) AS stop FROM m d JOIN m k ON k.file = d.file AND k.line > d.line WHERE d.defines AND (k.depth < d.depth OR (k.depth = d.depth AND NOT k.skip AND NOT (k.closes AND k.opens)
+   AND NOT (k.brace AND NOT EXISTS (SELECT 1 FROM m x WHERE x.file = d.file AND x.line > d.line AND x.line < k.line AND NOT (x.depth = d.depth AND x.skip))))) GROUP BY ALL),
+ bodies AS (SELECT d.file, d.line, coalesce(max(x.line), d.line) AS "end" FROM (SELECT * FROM m WHERE defines) d LEFT JOIN stops s ON s.file = d.file AND s.line = d.line
+  LEFT JOIN m x ON x.file = d.file AND x.line > d.line AND ((x.line < coalesce(s.stop, 2147483647) AND NOT (x.depth = d.depth AND x.skip)) OR (x.line = s.stop AND x.depth = d.depth AND (x.closes OR x.word))) GROUP BY d.file, d.line)"""
+
+
+def _bodies(spark, sf_dir):
+    lines, defs = A.indented_lines(spark, sf_dir)
+    return blocks.block_ends(lines, defs)
+
+
+@query("WITH " + _BLOCKS + ' SELECT file, line, "end" FROM bodies')
+def block_ends(spark, sf_dir):
+    """The last line of each definition's body."""
+    return _bodies(spark, sf_dir)
+
+
+@query("WITH " + _BLOCKS + ' SELECT d.file, d.line AS nth, max(p.line) AS up FROM bodies d LEFT JOIN bodies p ON p.file = d.file AND p.line < d.line AND p."end" >= d.line GROUP BY d.file, d.line')
+def enclosing(spark, sf_dir):
+    """The definition around each definition."""
+    return blocks.enclosing(cut(_bodies(spark, sf_dir)).withColumn("nth", F.col("line")))
