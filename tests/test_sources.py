@@ -2,9 +2,11 @@
 
 import datetime
 import io
+import os
 import zipfile
 
 import pytest
+from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
 from loomgraph.operators import caching, neighborhood, paths, views
 from loomgraph.sources import archives, folders, links
@@ -55,6 +57,54 @@ def test_folders(spark, tmp_path):
     assert sorted(r["path"] for r in folders.without_shared_root(loose).collect()) == ["a/b.py", "a/c.py", "d.py"]
 
 
+def test_folder_bytes_and_names(spark, tmp_path):
+    """Bytes that aren't UTF-8 are replaced, and a folder whose name comes again in paths below it loses none of them."""
+    base = tmp_path / "data"
+    files = {"data/x/data/y.py": b"one", "data/data/y.py": b"two", "y.py": b"three", "b.txt": "café".encode("latin-1"), "data/.github/w.yml": b"four"}
+    for name, data in files.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(data)
+    for address in (f"file://{base}", f"{base}/"):
+        got = {r["path"]: r["text"] for r in folders.read_files(spark, address).collect()}
+        assert got == {"data/x/data/y.py": "one", "data/data/y.py": "two", "y.py": "three", "b.txt": "caf\ufffd", "data/.github/w.yml": "four"}
+    assert sorted(r["path"] for r in folders.read_files(spark, str(base), "data/x").collect()) == ["x/data/y.py"]  # without the segment that all share
+
+
+def test_skipped_folders_stay_closed(spark, tmp_path):
+    """By their times of access: skipped folders are not listed, and unwanted or too long files not opened."""
+    long = b"x" * (folders.LONGEST + 1)
+    opened = {"a.py": b"1", "src/b.py": b"2", "src/deep/er/c.md": b"3"}
+    closed = {"node_modules/d.js": b"4", "src/.git/e.py": b"5", "src/build/f.py": b"6", "src/g.zzz": b"7", "h.py": long, "yarn.lock": b"8"}
+    for name, data in {**opened, **closed}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    skipped = [tmp_path / d for d in ("node_modules", "src/.git", "src/build")]
+    for f in [*(tmp_path / n for n in {**opened, **closed}), *skipped]:
+        os.utime(f, (1, 2))
+    assert sorted(r["path"] for r in folders.read_files(spark, str(tmp_path)).collect()) == sorted(opened)
+    touched = {n for n in {**opened, **closed} if (tmp_path / n).stat().st_atime > 1}
+    if not touched:
+        pytest.skip("this file system keeps no times of access")
+    assert touched == set(opened) and all(d.stat().st_atime == 1 for d in skipped)
+
+
+def test_listing(spark, tmp_path, monkeypatch):
+    """Many folders are dealt out, paths narrow the walk, and filters on path reach it."""
+    names = [f"d{k % 90}/e{k % 7}/f{k}.py" for k in range(300)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = folders.list_folder(spark, str(tmp_path))
+    assert sorted(r["path"] for r in got.collect()) == sorted(names) and got.rdd.getNumPartitions() > 64
+    assert sorted(r["path"] for r in folders.list_folder(spark, str(tmp_path), "d1/").collect()) == sorted(n for n in names if n.startswith("d1/"))
+    reader = folders.FolderReader(str(tmp_path), "")
+    assert len(list(reader.pushFilters([StringStartsWith(("path",), "d2/e"), EqualTo(("size",), 3)]))) == 2
+    assert reader.may_hold("d2") and reader.may_hold("d2/e1") and not reader.may_hold("d20") and not reader.may_hold("d3")
+    assert {p for part in reader.partitions() for p, _, _ in reader.read(part)} == {n for n in names if n.startswith("d2/e")}
+    list(reader.pushFilters([In(("path",), ("d2/e2/f2.py", "d9/x"))]))
+    assert reader.may_hold("d2/e2") and not reader.may_hold("d2/e1") and not reader.may_hold("d9")
+
+
 def test_saved(spark, tmp_path):
     store, make = f"file://{tmp_path}/store", lambda rows: spark.createDataFrame(rows, "path string, text string")
     caching.save(make([("a", "1"), ("b", "2")]), store, "one", 1.0)
@@ -84,6 +134,21 @@ def test_ingest(spark, tmp_path):
     assert sorted(r["text"] for r in got) == ["x", "y", "z"] and got[0]["arrived"] == datetime.datetime(2024, 1, 1)
 
 
+def test_ingest_for_good(spark, tmp_path):
+    """Contents that come again after any time aren't new, and a batch that is repeated adds none."""
+    store, source = f"file://{tmp_path}/blobs", str(tmp_path / "in")
+    make = lambda rows: spark.createDataFrame(rows, "path string, text string").coalesce(1)
+    stream = spark.readStream.schema("path string, text string").parquet
+    stored = lambda: sorted((r["text"], r["batch"]) for r in ingest.blobs(spark, store).collect())
+    for k, rows in enumerate([[("a", "x"), ("b", "y"), ("c", "x"), ("n", None)], [("d", "y"), ("e", "z")], [("f", "x"), ("g", "")]]):
+        make(rows).write.mode("append").parquet(source)
+        ingest.ingest(stream(source), store, str(tmp_path / "state")).awaitTermination(120)
+    assert stored() == [("", 2), ("x", 0), ("y", 0), ("z", 1)]
+    ingest.append_new(make([("d", "y"), ("e", "z")]), 1, store)  # as after a failure between the write and its commit
+    ingest.append_new(make([("a", "x"), ("b", "y")]), 0, store)
+    assert stored() == [("", 2), ("x", 0), ("y", 0), ("z", 1)]
+
+
 def test_cycles_and_hidden_tests(spark):
     nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", None)], "key string, parent_key string")
     got = sorted(tuple(r) for r in neighborhood.ancestors(nodes).collect())
