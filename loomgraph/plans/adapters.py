@@ -175,3 +175,18 @@ def indented_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 #: What lines begin with in turn: indentations, then marks.
 LEADS = ["", "  ", "", "    ", "\t", " \t", "", "  "]
 STARTS = ["", "{", "}", "", "case x: ", "} else {", "end ", "# ", "", "rescue ", "tag:"]
+
+
+def package_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Source files in packages, one per document, modules, definitions, and imports of both kinds (go, jvm: path, spec)."""
+    d = read(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("i"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+    go = d.select("i", "source", "lang", F.expr("concat('go/', source, '/', lang, '/g', i, if(i % 7 = 0, '_test.go', '.go'))").alias("path"))
+    jvm = d.select("i", "lang", F.expr("concat('java/', source, '/com/', lang, '/pkg', pmod(i, 5), '/C', i, if(i % 3 = 0, '.kt', '.java'))").alias("path"))
+    modules = d.select("source").distinct().select(F.concat(F.lit("go/"), "source").alias("dir"), F.concat(F.lit("example.org/"), "source").alias("module")).unionByName(
+        d.where("lang = 'en'").select("source").distinct().select(F.expr("concat('go/', source, '/en')").alias("dir"), F.expr("concat('example.org/', source, '/en/v2')").alias("module")))
+    go_specs = F.array(*map(F.expr, ["concat('example.org/', source, '/', lang)", "concat('example.org/', source, '/en/v2')", "'fmt'", "concat('net/', lang)", "concat('github.com/a/', lang, '/c/d')", "concat('example.org/', source, '/none')", "concat('example.org/', source, 'x')"]))
+    jvm_specs = F.array(*map(F.expr, ["concat('com.', lang, '.pkg', pmod(i + 1, 5), '.C', i - 4)", "concat('com.', lang, '.pkg', pmod(i, 5), '.*')", "concat('com.en.pkg', pmod(i, 5), '.T', pmod(i, 40))", "concat('com.', lang, '.pkg', pmod(i, 5), '.C', i, '.inner.deep')", "'org.junit.Test'", "'kotlin'", "concat('com.en.pkg1.T', i, 'x')"]))
+    return {
+        "files": go.select("path").unionByName(jvm.select("path")), "modules": modules,
+        "defs": jvm.select(F.expr("concat('T', pmod(i, 40))").alias("name"), "path", (F.col("i") % 4 > 0).alias("top")),
+        "go": go.select("path", F.explode(go_specs).alias("spec")), "jvm": jvm.select("path", F.explode(jvm_specs).alias("spec"))}

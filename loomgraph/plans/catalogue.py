@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import imports as I
 from loomgraph.functions import paths as P
 from loomgraph.functions import text as T
-from loomgraph.operators import blocks, caching, identifiers, imports, keywords, lookup, neighborhood, styling, views
+from loomgraph.operators import blocks, caching, identifiers, imports, keywords, lookup, neighborhood, packages, styling, views
 from loomgraph.operators import paths as paths_of
 from loomgraph.operators._store import cut, new_path
 from loomgraph.plans import adapters as A
@@ -829,3 +829,48 @@ def block_ends(spark, sf_dir):
 def enclosing(spark, sf_dir):
     """The definition around each definition."""
     return blocks.enclosing(cut(_bodies(spark, sf_dir)).withColumn("nth", F.col("line")))
+
+
+# ---- packages --------------------------------------------------------------------------------------------------------
+
+_PACKAGES = """d AS (SELECT doc_id AS i, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents WHERE doc_id IS NOT NULL),
+ go AS (SELECT *, 'go/' || source || '/' || lang || '/g' || CAST(i AS VARCHAR) || CASE WHEN i % 7 = 0 THEN '_test.go' ELSE '.go' END AS path FROM d),
+ jvm AS (SELECT *, 'java/' || source || '/com/' || lang || '/pkg' || CAST(((i % 5) + 5) % 5 AS VARCHAR) || '/C' || CAST(i AS VARCHAR) || CASE WHEN i % 3 = 0 THEN '.kt' ELSE '.java' END AS path FROM d),
+ files AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM go UNION SELECT path, regexp_replace(path, '/[^/]*$', '') FROM jvm),
+ modules AS (SELECT DISTINCT 'go/' || source AS dir, 'example.org/' || source AS module FROM d UNION SELECT DISTINCT 'go/' || source || '/en', 'example.org/' || source || '/en/v2' FROM d WHERE lang = 'en'),
+ go_asked AS (SELECT DISTINCT path, unnest(['example.org/' || source || '/' || lang, 'example.org/' || source || '/en/v2', 'fmt', 'net/' || lang, 'github.com/a/' || lang || '/c/d', 'example.org/' || source || '/none', 'example.org/' || source || 'x']) AS spec FROM go),
+ jvm_asked AS (SELECT DISTINCT path, unnest(['com.' || lang || '.pkg' || CAST((((i + 1) % 5) + 5) % 5 AS VARCHAR) || '.C' || CAST(i - 4 AS VARCHAR), 'com.' || lang || '.pkg' || CAST(((i % 5) + 5) % 5 AS VARCHAR) || '.*', 'com.en.pkg' || CAST(((i % 5) + 5) % 5 AS VARCHAR) || '.T' || CAST(((i % 40) + 40) % 40 AS VARCHAR),
+   'com.' || lang || '.pkg' || CAST(((i % 5) + 5) % 5 AS VARCHAR) || '.C' || CAST(i AS VARCHAR) || '.inner.deep', 'org.junit.Test', 'kotlin', 'com.en.pkg1.T' || CAST(i AS VARCHAR) || 'x']) AS spec FROM jvm),
+ top AS (SELECT 'T' || CAST(((i % 40) + 40) % 40 AS VARCHAR) AS name, path, regexp_replace(path, '/[^/]*$', '') AS folder FROM jvm WHERE i % 4 > 0)"""
+
+
+@query("WITH " + _PACKAGES + """, specs AS (SELECT DISTINCT spec FROM go_asked), fit AS (SELECT spec, dir, module FROM specs LEFT JOIN modules ON spec = module OR starts_with(spec, module || '/') QUALIFY row_number() OVER (PARTITION BY spec ORDER BY length(module) DESC, dir) = 1),
+ packs AS (SELECT folder, path AS target FROM files WHERE path LIKE '%.go' AND NOT suffix(path, '_test.go') QUALIFY row_number() OVER (PARTITION BY folder ORDER BY path) <= 60),
+ met AS (SELECT spec, target, CAST(NULL AS VARCHAR) AS lib FROM fit JOIN packs ON folder = dir || substr(spec, length(module) + 1) UNION ALL SELECT spec, NULL, CASE WHEN contains(split_part(spec, '/', 1), '.') THEN array_to_string(string_split(spec, '/')[1:3], '/') ELSE spec END FROM fit WHERE module IS NULL)
+ SELECT path, spec, target, lib FROM go_asked JOIN met USING (spec)""")
+def go_targets(spark, sf_dir):
+    """The files of an imported package, by the longest module; else its library."""
+    t = A.package_tables(spark, sf_dir)
+    return packages.go_targets(t["go"], t["files"], t["modules"])
+
+
+@query("WITH " + _PACKAGES + """, n AS (SELECT *, string_split(regexp_replace(spec, '[.][*]$|[.]$', ''), '.') AS parts, suffix(spec, '.*') AS wild FROM jvm_asked),
+ opts AS (SELECT path, spec, k, e, array_to_string(parts[1:k], '/') || ['.java', '.kt', '.scala', '.groovy'][e] AS want FROM n, range(1, 9) r(k), range(1, 5) q(e) WHERE k <= len(parts) AND k >= CASE WHEN len(parts) >= 2 THEN greatest(2, len(parts) - 2) ELSE 1 END),
+ cls AS (SELECT o.path, spec, f.path AS target FROM opts o JOIN files f ON f.path = want OR suffix(f.path, '/' || want) QUALIFY row_number() OVER (PARTITION BY o.path, spec ORDER BY k DESC, e, (SELECT count(*) FROM range(1, least(length(o.path), length(f.path)) + 1) r(n) WHERE left(o.path, n) = left(f.path, n)) DESC, f.path) = 1),
+ rest AS (SELECT *, array_to_string(CASE WHEN wild THEN parts ELSE parts[1:len(parts) - 1] END, '/') AS package, parts[len(parts)] AS name FROM n ANTI JOIN cls USING (path, spec)),
+ ends AS (SELECT DISTINCT package, folder FROM (SELECT DISTINCT package FROM rest WHERE package <> '') p JOIN files f ON f.folder = package OR suffix(f.folder, '/' || package)),
+ packs AS (SELECT package, path AS target FROM ends JOIN files USING (folder) QUALIFY row_number() OVER (PARTITION BY package ORDER BY folder, path) <= 60)
+ SELECT path, spec, target, CAST(NULL AS VARCHAR) AS lib FROM cls UNION ALL SELECT r.path, spec, target, NULL FROM rest r JOIN packs USING (package) WHERE wild
+ UNION ALL SELECT DISTINCT r.path, spec, t.path, NULL FROM rest r JOIN ends USING (package) JOIN top t ON t.folder = ends.folder AND t.name = r.name WHERE NOT wild
+ UNION ALL SELECT path, spec, NULL, array_to_string((CASE WHEN wild OR len(parts) < 2 THEN parts ELSE parts[1:len(parts) - 1] END)[1:2], '.') FROM rest WHERE package NOT IN (SELECT package FROM ends)""")
+def jvm_targets(spark, sf_dir):
+    """The file of an imported class, the files of a package, or those that define a name in it."""
+    t = A.package_tables(spark, sf_dir)
+    return packages.jvm_targets(t["jvm"], t["files"], t["defs"])
+
+
+@query(_with(_EDGES) + """, me AS (SELECT key, file_key FROM nodes WHERE key = 's:7'), near AS (SELECT t AS key, CASE type WHEN 2 THEN 2 ELSE 0 END AS place, type = 1 AS weak FROM edges WHERE s = 's:7' UNION ALL SELECT s, 1, type = 1 FROM edges WHERE t = 's:7' AND type <> 2 UNION ALL SELECT t, 3, FALSE FROM edges, me WHERE s = file_key)
+ SELECT name, key FROM near JOIN nodes USING (key) WHERE kind NOT IN ('file', 'dir') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place, weak AND place < 2, key) = 1""")
+def name_links(spark, sf_dir):
+    """What the names in a symbol's code link to."""
+    return packages.name_links(*_graph(spark, sf_dir), "s:7")
