@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip, subsequence
+from loomgraph.operators._store import cut
 from loomgraph.operators.views import CONTAIN, REF
 
 
@@ -28,7 +29,7 @@ def details(nodes: DataFrame, edges: DataFrame, key: str, most: int = 150) -> Da
     rows = out.unionByName(into).join(info, "other")
     section = F.when(F.col("way") == "in", "used_by").when(F.col("type") == CONTAIN, "children").when(F.col("kind") == "keyword", "keywords").otherwise("uses")
     first = F.when(section == "children", F.when(F.col("kind") == "dir", 0).otherwise(1)).otherwise(F.when(F.col("type") == REF, 1).otherwise(0))
-    rows = rows.select(section.alias("section"), F.col("other").alias("key"), (F.col("type") == REF).alias("weak"), first.alias("first"), "name")
+    rows = cut(rows.select(section.alias("section"), F.col("other").alias("key"), (F.col("type") == REF).alias("weak"), first.alias("first"), "name"))  # once for the lists and their lengths
     rn = F.row_number().over(Window.partitionBy("section").orderBy("first", "name", "key"))  # alone in its window, so its limit reaches the tasks that read
     total = rows.groupBy("section").agg(F.count("*").alias("total"))
     return rows.withColumn("rn", rn).where(F.col("rn") <= most).join(F.broadcast(total), "section").select("section", "key", "weak", "rn", "total")  # four sections at most

@@ -25,31 +25,61 @@ def hidden_by() -> Column:
     return F.when(test, "tests").when(F.col("kind") == "variable", "vars").when(F.col("kind") == "lib", "libs")
 
 
-def view_nodes(nodes: DataFrame, view: str, hide: tuple[str, ...] = ()) -> DataFrame:
-    """Nodes that the view shows. hide: toggles out of tests, vars and libs; if they hide everything, none of them counts."""
-    kept = nodes.where(kept_kind(view))
+def _hidden(hide: tuple[str, ...]) -> Column:
+    """Whether one of the toggles (tests, vars, libs) hides a node."""
     flags = {"tests": hidden_by() == "tests", "vars": F.col("kind") == "variable", "libs": F.col("kind") == "lib"}
-    shown = kept
+    out = F.lit(False)
     for h in hide:
         if h in flags:
-            shown = shown.where(~F.coalesce(flags[h], F.lit(False)))
-    return kept if hide and shown.isEmpty() else shown
+            out = out | F.coalesce(flags[h], F.lit(False))
+    return out
+
+
+def _flagged(nodes: DataFrame, view: str, hide: tuple[str, ...]) -> DataFrame:
+    """nodes with _shown, and _open for those whose own kind doesn't matter. If the toggles hide all nodes of the view's kinds, none of them counts; that is a row
+    of the plan, not a job ahead of it."""
+    if not hide:
+        return nodes.withColumn("_shown", kept_kind(view)).withColumn("_open", F.lit(True))
+    some = nodes.agg(F.coalesce(F.bool_or(kept_kind(view) & ~_hidden(hide)), F.lit(False)).alias("_any"))
+    test = F.coalesce(hidden_by() == "tests", F.lit(False)) if "tests" in hide else F.lit(False)
+    return nodes.crossJoin(F.broadcast(some)).withColumn("_shown", kept_kind(view) & (~_hidden(hide) | ~F.col("_any"))).withColumn("_open", ~test | ~F.col("_any")).drop("_any")
+
+
+def view_nodes(nodes: DataFrame, view: str, hide: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes that the view shows. hide: toggles out of tests, vars and libs; if they hide everything, none of them counts."""
+    return _flagged(nodes, view, hide).where("_shown").drop("_shown", "_open")
 
 
 def view_edges(nodes: DataFrame, edges: DataFrame, view: str, hide: tuple[str, ...] = ()) -> DataFrame:
     """s, t and the strongest type between nodes that the view shows. The files view lifts links to their files; edges to
-    keywords belong to the words view alone; hiding refs doesn't touch the words view."""
-    info = nodes.select(F.col("key").alias("_k"), F.col("kind").alias("_kind"), F.col("file_key").alias("_file"))
+    keywords belong to the words view alone; hiding refs doesn't touch the words view.
+
+    A node knows whether it, and with the same path its file, is shown; so two joins and one grouping do."""
+    struct = F.col("kind").isin(*STRUCT)
+    key = F.when(struct, F.col("key")).otherwise(F.col("file_key")) if view == "files" else F.col("key")
+    lifted = F.when(struct, F.col("_shown")).otherwise(F.col("_open") & F.col("file_key").isNotNull()) if view == "files" else F.col("_shown")
+    info = _flagged(nodes, view, hide).select(F.col("key").alias("_k"), key.alias("_as"), lifted.alias("_there"), F.col("_shown"), (F.col("kind") == "keyword").alias("_word"))
     e = edges.where(F.col("type") != REF) if "refs" in hide and view != "words" else edges
-    e = e.join(info.select(F.col("_k").alias("s"), F.col("_kind").alias("s_kind"), F.col("_file").alias("s_file")), "s")
-    e = e.join(info.select(F.col("_k").alias("t"), F.col("_kind").alias("t_kind"), F.col("_file").alias("t_file")), "t")
-    e = e.where((F.col("t_kind") == "keyword") if view == "words" else (F.col("t_kind") != "keyword"))
-    if view == "files":
-        lifted = lambda x: F.when((F.col("type") == CONTAIN) | F.col(f"{x}_kind").isin(*STRUCT), F.col(x)).otherwise(F.col(f"{x}_file")).alias(x)
-        e = e.select(lifted("s"), lifted("t"), "type").groupBy("s", "t").agg(F.max("type").alias("type"))
-    shown = view_nodes(nodes, view, hide).select("key")
-    e = e.where("s <> t").join(shown.withColumnRenamed("key", "s"), "s", "left_semi").join(shown.withColumnRenamed("key", "t"), "t", "left_semi")
-    return e.groupBy("s", "t").agg(F.max("type").alias("type"))
+    end = lambda x: info.select(F.col("_k").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("_as", "_there", "_shown", "_word")))
+    e = e.join(end("s"), "s").join(end("t"), "t").where("t_word" if view == "words" else "not t_word")
+    own = F.col("type") == CONTAIN  # containment isn't lifted
+    for x in ("s", "t"):
+        e = e.where(F.when(own, F.col(f"{x}_shown")).otherwise(F.col(f"{x}_there")))
+    e = e.select(*(F.when(own, F.col(x)).otherwise(F.col(f"{x}_as")).alias(x) for x in ("s", "t")), "type")
+    return e.where("s <> t").groupBy("s", "t").agg(F.max("type").alias("type"))
+
+
+def reveal(nodes: DataFrame, view: str, hide: tuple[str, ...] = ()) -> DataFrame:
+    """key, view, toggle and view_key of every node: where it is to be seen from a view with hidden toggles. A node that is shown stays; else the toggle that
+    hides it is lifted in the view of its kind, or that view is taken; a node that its own view leaves out is its file there, if that is shown."""
+    want = F.when(F.col("kind") == "dir", "files").when(F.col("kind") == "keyword", "words").otherwise("code")
+    block = F.when(F.lit("tests" in hide) & (hidden_by() == "tests"), "tests").when(F.lit("vars" in hide) & (F.col("kind") == "variable"), "vars").when(F.lit("libs" in hide) & (F.col("kind") == "lib"), "libs")
+    flagged = _flagged(nodes, view, hide).select("key", "file_key", "_shown", want.alias("want"), block.alias("block"))
+    files = flagged.where("_shown").select(F.col("key").alias("file_key"), F.lit(True).alias("_file"))
+    met = flagged.join(files, "file_key", "left")
+    moved = ~F.col("_shown") & (F.col("block").isNotNull() | (F.col("want") != view))
+    return met.select("key", F.when(moved, F.col("want")).otherwise(view).alias("view"), F.when(~F.col("_shown"), F.col("block")).alias("toggle"),
+                      F.when(F.col("_shown") | moved, F.col("key")).when(F.col("_file"), F.col("file_key")).alias("view_key"))
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
@@ -59,7 +89,12 @@ def both_ends(edges: DataFrame) -> DataFrame:
 
 def degree(shown: DataFrame, edges: DataFrame) -> DataFrame:
     """key and deg of every node shown; opposite edges count twice."""
-    counts = both_ends(edges).groupBy("u").agg(F.count("*").alias("n"))
+    return degree_of(shown, both_ends(edges))
+
+
+def degree_of(shown: DataFrame, ends: DataFrame) -> DataFrame:
+    """The same from both_ends(edges)."""
+    counts = ends.groupBy("u").agg(F.count("*").alias("n"))
     return shown.select("key").join(counts, F.col("key") == F.col("u"), "left").select("key", F.coalesce("n", F.lit(0)).alias("deg"))
 
 

@@ -153,18 +153,17 @@ def hidden_by(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     shown, edges = _files_view(spark, sf_dir)
-    edges = cut(edges)
-    return views.degree(shown, edges), edges
+    return shown, cut(edges)
 
 
 @query(_with(_bfs(3)) + "SELECT key, depth FROM nb")
 def bfs_depth(spark, sf_dir):
-    return neighborhood.bfs(_checked(spark, sf_dir)[1], START, 3).select("key", "depth")
+    return neighborhood.bfs(_files_view(spark, sf_dir)[1], START, 3).select("key", "depth")
 
 
 @query(_with(_bfs(3)) + f"SELECT a.key AS key, a.depth AS depth, min(b.key) AS \"from\" FROM nb a LEFT JOIN adj ON adj.w = a.key LEFT JOIN nb b ON b.key = adj.u AND b.depth = a.depth - 1 GROUP BY a.key, a.depth")
 def bfs_parent(spark, sf_dir):
-    return neighborhood.bfs(_checked(spark, sf_dir)[1], START, 3)
+    return neighborhood.bfs(_files_view(spark, sf_dir)[1], START, 3)
 
 
 @query(_with(_bfs(3) + _NBE) + "SELECT (SELECT count(*) FROM nb) AS nodes, (SELECT count(*) FROM nbe) AS edges")
@@ -179,16 +178,31 @@ def bfs_edges(spark, sf_dir):
     return neighborhood.induced(edges, neighborhood.bfs(edges, START, 2))
 
 
-@query(_with(_bfs(3)) + f""", l1 AS (SELECT key, row_number() OVER (ORDER BY score DESC, deg DESC, key) AS rn FROM (SELECT nb.key, count(*) AS score, any_value(deg) AS deg FROM nb JOIN adj ON adj.w = nb.key JOIN deg ON deg.key = nb.key WHERE depth = 1 AND u = '{START}' GROUP BY nb.key) x),
+_BUDGET = _with(_bfs(3)) + f""", l1 AS (SELECT key, row_number() OVER (ORDER BY score DESC, deg DESC, key) AS rn FROM (SELECT nb.key, count(*) AS score, any_value(deg) AS deg FROM nb JOIN adj ON adj.w = nb.key JOIN deg ON deg.key = nb.key WHERE depth = 1 AND u = '{START}' GROUP BY nb.key) x),
  k1 AS (SELECT key FROM l1 WHERE rn <= greatest(1, floor((50 - 1) * 0.7))),
  l2 AS (SELECT key, row_number() OVER (ORDER BY score DESC, deg DESC, key) AS rn FROM (SELECT nb.key, count(*) AS score, any_value(deg) AS deg FROM nb JOIN adj ON adj.w = nb.key JOIN deg ON deg.key = nb.key WHERE depth = 2 AND u IN (SELECT key FROM k1) GROUP BY nb.key) x),
  k2 AS (SELECT key FROM l2 WHERE rn <= greatest(1, floor((50 - 1 - (SELECT count(*) FROM k1)) * 0.7))),
  l3 AS (SELECT key, row_number() OVER (ORDER BY score DESC, deg DESC, key) AS rn FROM (SELECT nb.key, count(*) AS score, any_value(deg) AS deg FROM nb JOIN adj ON adj.w = nb.key JOIN deg ON deg.key = nb.key WHERE depth = 3 AND u IN (SELECT key FROM k2) GROUP BY nb.key) x),
- k3 AS (SELECT key FROM l3 WHERE rn <= 50 - 1 - (SELECT count(*) FROM k1) - (SELECT count(*) FROM k2))
- SELECT '{START}' AS key, 0 AS depth UNION ALL SELECT key, 1 FROM k1 UNION ALL SELECT key, 2 FROM k2 UNION ALL SELECT key, 3 FROM k3""")
+ k3 AS (SELECT key FROM l3 WHERE rn <= 50 - 1 - (SELECT count(*) FROM k1) - (SELECT count(*) FROM k2)),
+ kept AS (SELECT '{START}' AS key, 0 AS depth UNION ALL SELECT key, 1 FROM k1 UNION ALL SELECT key, 2 FROM k2 UNION ALL SELECT key, 3 FROM k3) """
+
+
+def _budgeted(spark, sf_dir):
+    """The edges are written once, from either end."""
+    shown, edges = _files_view(spark, sf_dir)
+    ends = neighborhood.around(edges)
+    return neighborhood.budgeted(edges, views.degree_of(shown, ends), START, 3, 50, ends)
+
+
+@query(_BUDGET + 'SELECT a.key AS key, a.depth AS depth, min(b.key) AS "from" FROM kept a LEFT JOIN adj ON adj.w = a.key LEFT JOIN kept b ON b.key = adj.u AND b.depth = a.depth - 1 GROUP BY a.key, a.depth')
+def bfs_budget_parent(spark, sf_dir):
+    """G4 with a node budget."""
+    return _budgeted(spark, sf_dir)
+
+
+@query(_BUDGET + "SELECT key, depth FROM kept")
 def bfs_budget(spark, sf_dir):
-    degrees, edges = _checked(spark, sf_dir)
-    return neighborhood.budgeted(edges, degrees, START, 3, 50)
+    return _budgeted(spark, sf_dir).drop("from")
 
 
 @query(_with(_NODES + """, up AS (SELECT key, parent_key AS ancestor, 1 AS hops FROM nodes WHERE parent_key IS NOT NULL
@@ -240,6 +254,18 @@ def map_into(spark, sf_dir):
     return lookup.map_into(nodes, views.view_nodes(nodes, "files"))
 
 
+@query(_with(_NODES) + """SELECT key, CASE WHEN kind = 'dir' THEN 'files' ELSE 'code' END AS view, CASE kind WHEN 'variable' THEN 'vars' WHEN 'lib' THEN 'libs' END AS toggle, key AS view_key FROM nodes""")
+def reveal_from_code(spark, sf_dir):
+    """What to do to see each node from the code view without variables and libraries."""
+    return views.reveal(A.star_nodes(spark, sf_dir), "code", ("vars", "libs"))
+
+
+@query(_with(_NODES) + """SELECT key, CASE WHEN kind IN ('dir', 'file') THEN 'files' ELSE 'code' END AS view, CASE WHEN kind = 'lib' THEN 'libs' END AS toggle, key AS view_key FROM nodes""")
+def reveal_from_files(spark, sf_dir):
+    """G9 from the files view without libraries: symbols are in the code view."""
+    return views.reveal(A.star_nodes(spark, sf_dir), "files", ("libs",))
+
+
 @query("""SELECT point_id, span_id FROM (SELECT p.event_id AS point_id, s.event_id AS span_id, row_number() OVER (PARTITION BY p.event_id ORDER BY floor(s.value), epoch_us(s.ts) // 1000000 DESC, s.event_id) AS rn
  FROM events p JOIN events s ON p.user_id = s.user_id AND p.event_id <> s.event_id AND epoch_us(p.ts) // 1000000 BETWEEN epoch_us(s.ts) // 1000000 AND epoch_us(s.ts) // 1000000 + CAST(floor(s.value) AS BIGINT) * 60) x WHERE rn = 1""")
 def innermost(spark, sf_dir):
@@ -515,7 +541,7 @@ def spring_params(spark, sf_dir):
  UNION ALL SELECT c.depth, outer_r + 24, greatest(outer_r + 114, sqrt((outer_r + 24) * (outer_r + 24) + c.n * 34 * 34 / pi())) FROM ring JOIN cnt c ON c.depth = ring.depth + 1)
  SELECT depth, round(inner_r, 4) AS "inner", round(outer_r, 4) AS "outer" FROM ring""")
 def ring_radii(spark, sf_dir):
-    return styling.ring_radii(neighborhood.bfs(_checked(spark, sf_dir)[1], START, 3))
+    return styling.ring_radii(neighborhood.bfs(_files_view(spark, sf_dir)[1], START, 3))
 
 
 def _points(spark, sf_dir):
@@ -544,9 +570,9 @@ def directional(spark, sf_dir):
 
 @query(_with(_bfs(2)) + f", st AS ({_STYLE}) SELECT key, row_number() OVER (ORDER BY depth, radius DESC, key) AS rn FROM st JOIN nb USING (key) QUALIFY rn <= 220")
 def label_order(spark, sf_dir):
-    shown, _ = _files_view(spark, sf_dir)
-    degrees, edges = _checked(spark, sf_dir)
-    return styling.label_order(styling.node_style(shown, degrees), neighborhood.bfs(edges, START, 2), 1280.0, 800.0)
+    shown, edges = _files_view(spark, sf_dir)
+    ends = neighborhood.around(edges)
+    return styling.label_order(styling.node_style(shown, views.degree_of(shown, ends)), neighborhood.bfs(edges, START, 2, ends), 1280.0, 800.0)
 
 
 # ---- set operations --------------------------------------------------------------------------------------------------
