@@ -3,6 +3,9 @@
 A document's words stream through the automaton, which keeps the longest match that ends at each word. A window of
 `window` words of an item (or a whole item of fewer words) that ends there is an occurrence; its words are hit.
 
+Items are cut into pieces that share all but one word of a window, and pieces are dealt to blocks of bounded size by a hash. Tasks build the blocks' automata and
+write them to the shared folder; the driver hands them on one at a time, and a scanning task has one in memory at a time, whatever the benchmark's size.
+
 Defined results: null or empty texts have no words and are clean; an item with a null or wordless text has no windows;
 repeated documents are judged alike, row by row; repeated item ids count once; a null item id is no item; an empty
 benchmark leaves all clean.
@@ -10,19 +13,22 @@ benchmark leaves all clean.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._base import table
+from loomgraph.llm._base import Scratch, runs, sliced, table
 
 WINDOW = 13
-#: Words of test items in one automaton, which is broadcast: some 100 bytes a word. More items take several automata.
-MOST_WORDS = 200_000
+#: Words of test items in one automaton, some 500 bytes a word in memory, about; more items take several automata. Words of a piece of an item.
+MOST_WORDS, PIECE_WORDS = 200_000, 20_000
+#: Bytes of texts that a task holds while it takes one automaton after the other.
+SCAN_BYTES = 32 << 20
 #: ASCII letters to lower case; all other ASCII but digits parts words. Bytes of other characters stay as they are.
 _FOLD = bytes(b if b > 127 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
@@ -122,55 +128,105 @@ class SuffixAutomaton:
         return found, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata of bounded size over all items. Items travel to the driver block by block, never all at once."""
-    block, size = [], 0
-    seen = benchmark.select("item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    for row in seen.toLocalIterator():
-        words = words_of(row["text"])
-        if block and size + len(words) > most_words:
-            yield SuffixAutomaton(block, window)
-            block, size = [], 0
-        block.append((row["item"], words))
-        size += len(words)
-    if block:
-        yield SuffixAutomaton(block, window)
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps((self.next, self.link, self.len, self.ends, self.due), pickle.HIGHEST_PROTOCOL), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> SuffixAutomaton:
+        made = object.__new__(cls)
+        made.next, made.link, made.len, made.ends, made.due = pickle.loads(zlib.decompress(data))
+        return made
+
+
+def pieces(benchmark: DataFrame, window: int, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """item, nth, n and words (parted by spaces) of pieces of the items: every window of an item stands in one of them."""
+    def run(batches):
+        for batch in sliced(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                step = max(piece_words, window)
+                starts = range(0, max(len(words) - window + 1, 1), step) if words else []
+                cut = [words[k : k + step + window - 1] for k in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array(range(len(cut)), pa.int32()), pa.array([len(w) for w in cut], pa.int64()), pa.array([b" ".join(w) for w in cut], pa.binary())], names=["item", "nth", "n", "words"])
+
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return known.mapInArrow(run, "item string, nth int, n long, words binary")
+
+
+def automata(benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, most_words: int = MOST_WORDS) -> tuple[DataFrame, int]:
+    """block and data (a packed automaton) of all blocks, built in tasks, and the number of blocks."""
+    cut = scratch.keep(pieces(benchmark, window, min(PIECE_WORDS, most_words)), "pieces")
+    blocks = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // most_words))
+
+    def run(batches):
+        for block in runs(batches, ["block"]):
+            items = [(i, w.split(b" ")) for i, w in zip(block.column("item").to_pylist(), block.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([block.column("block").combine_chunks()[:1], pa.array([SuffixAutomaton(items, window).packed()], pa.binary())], names=["block", "data"])
+
+    dealt = cut.select(F.pmod(F.xxhash64("item", "nth"), F.lit(blocks)).cast("int").alias("block"), "item", "words")
+    return scratch.keep(dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "block int, data binary"), "automata"), blocks
+
+
+def _taken(shared) -> bytes:
+    """A broadcast's value, which the worker doesn't keep."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value
 
 
 _FOUND = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs with n_words, spans (merged [start, end) word ranges that are hit) and items (sorted ids)."""
     spark = docs.sparkSession
-    extra = "n_words long, spans array<array<long>>, items array<string>"
+    scratch = scratch or Scratch(spark, "decontamination")
     names = [c for c in docs.columns if c not in _FOUND.names]
     plain = docs.select(*names)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + [extra])
-    first = True
-    for automaton in [*automata(benchmark, window, most_words)] or [SuffixAutomaton([], window)]:
-        shared = spark.sparkContext.broadcast((automaton.next, automaton.link, automaton.len, automaton.ends, automaton.due))
-
-        def scan(batches, shared=shared, first=first, names=tuple(names)):
-            automaton = object.__new__(SuffixAutomaton)
-            automaton.next, automaton.link, automaton.len, automaton.ends, automaton.due = shared.value
-            for batch in batches:
-                n_words, spans, items = [], [], []
-                before = None if first else (batch.column(batch.schema.get_field_index("spans")).to_pylist(), batch.column(batch.schema.get_field_index("items")).to_pylist())
-                for k, text in enumerate(batch.column(names.index("text"))):
-                    words = words_of(text.as_py())
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + ["n_words long, spans array<array<long>>, items array<string>"])
+    built, blocks = automata(benchmark, scratch, window, most_words)
+    shared = []
+    for k in range(blocks):  # a block at a time; one that no piece was dealt to has no row
+        row = built.where(F.col("block") == k).select("data").first()
+        if row is not None:
+            shared.append(spark.sparkContext.broadcast(bytes(row["data"])))
+        del row
+    at = names.index("text")
+
+    def scan(batches):
+        known: list[SuffixAutomaton] = []  # if it is the only one
+
+        def answer(held):
+            texts = [words_of(t.as_py()) for batch in held for t in batch.column(at)]
+            found: list[tuple[list, set]] = [([], set()) for _ in texts]
+            for one in shared or [None]:
+                automaton = known[0] if known else SuffixAutomaton.unpacked(_taken(one)) if one is not None else SuffixAutomaton([], window)
+                if len(shared) < 2 and not known:
+                    known.append(automaton)
+                for k, words in enumerate(texts):
                     got, who = automaton.occurrences(words)
-                    if before and (before[0][k] or before[1][k]):
-                        got, who = merged([*got, *map(tuple, before[0][k])]), who | set(before[1][k])
-                    n_words.append(len(words))
-                    spans.append([list(x) for x in got])
-                    items.append(sorted(who, key=lambda s: s.encode()))
-                own = table(_FOUND, n_words=n_words, spans=spans, items=items)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *own.columns], names=[*names, *_FOUND.names])
-
-        plain = plain.mapInArrow(scan, schema)
-        first = False
-    return plain
+                    if got:
+                        before, names_before = found[k]
+                        found[k] = (merged([*before, *got]) if before else got, names_before | who)
+                del automaton
+            own = table(_FOUND, n_words=[len(w) for w in texts], spans=[[list(x) for x in got] for got, _ in found], items=[sorted(who, key=lambda s: s.encode()) for _, who in found])
+            start = 0
+            for batch in held:
+                part = own.slice(start, batch.num_rows)
+                start += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *part.columns], names=[*names, *_FOUND.names])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(shared) < 2 or size >= SCAN_BYTES:
+                yield from answer(held)
+                held, size = [], 0
+        if held:
+            yield from answer(held)
+
+    return plain.mapInArrow(scan, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

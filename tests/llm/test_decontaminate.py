@@ -76,3 +76,21 @@ def test_clashing_columns_keep_their_values(spark):
 def test_cut(spark):
     assert d.cut("One, two. THREE four five", [[1, 3]], 2) == "One,  four five"
     assert d.cut("One, two", [[0, 1]], 2) == "One, two"
+
+
+def test_a_large_benchmark_in_blocks(spark):
+    """Long items are cut into pieces that lose no window; many automata, built in tasks and scanned one at a time, find what one does."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([60_000, 30_000, *[40] * 1500, *[5] * 50])]
+    long = items[0][1].split()
+    docs = [(k, " ".join(rng.choices(vocabulary, k=50) + long[a : a + n])) for k, (a, n) in enumerate([(19_990, 13), (19_995, 30), (0, 12), (59_980, 20), (30_000, 2000), (39_988, 13), (19_988, 13)])] + [(100 + k, items[k][1]) for k in (1, 5, 1551)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    many = d.find_spans(df, bench, most_words=30_000)
+    cut = d.pieces(bench, 13, 20_000).collect()
+    assert max(r["n"] for r in cut) <= 20_012 and sum(r["item"] == "0" for r in cut) == 3
+    want = brute(docs, items)
+    assert sum(r[2] > 0 for r in want) >= 8
+    assert rows(d.digest(many)) == want == rows(d.digest(d.find_spans(df, bench, most_words=10**9)))
