@@ -87,3 +87,36 @@ def test_closest(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+MORE = {
+    "src/app/main.ts": """import a from './util'\nimport {b} from "../lib/x.js"; export * from "@/conf"; const c = require('lodash/fp')\nimport d from '@scope/pkg/deep'; import "node:fs"; import('src/lib/lazy') // import './no'\nconst s = "import './no'"; import e from `/top`; import f from "https://x.org/y.js"; import g from './none'; import h from '~/none'""",
+    "src/app/util/index.tsx": "", "src/lib/x.ts": "", "src/conf.json": "", "src/lib/lazy.mjs": "", "top.js": "",
+    "pkg/mod.py": """import os, typing as t\nfrom . import sib, other\nfrom .sub.deep import (name, # no\n  second)\nfrom pkg.sib import thing\nfrom .. import up\n'''\nimport no\n'''\n# import no\nimport standalone""",
+    "pkg/__init__.py": "", "pkg/sib.py": "", "pkg/typing.py": "", "pkg/sub/__init__.py": "", "pkg/sub/deep.py": "", "tools/standalone.py": "",
+    "src/a.c": """#include "b.h"\n #include <stdio.h>\n#include <proj/api.h>\n# include <cfg.h>\n#include "deep/none.h"\n// #include "no.h"\n/* \n#include "no.h"\n*/\n#include "../inc/up.h"\n""",
+    "src/b.h": "", "include/proj/api.h": "", "other/cfg.h": "", "lib/include/cfg.h": "", "no.h": "", "inc/up.h": "",
+    "a/Prog.cs": "using System.Text;\n// using No;\nglobal using static My.Lib;\nusing X = Other.Thing;",
+    "a/App.swift": "@testable import Core\nimport struct Foundation.Date\n// import No",
+    "lib/main.dart": """import 'dart:io';\nimport 'package:app/src/w.dart';\nimport 'package:http/http.dart';\nexport 'src/w.dart';\nimport "gone.dart";""", "lib/src/w.dart": "",
+    "app/r.rb": """require_relative '../lib/one'\nrequire "two"\nload('json/pure')\nrequire_relative 'gone'\n# require 'no'\n=begin\nrequire 'no'\n=end\nrequire 'app/r'""", "lib/one.rb": "", "gems/x/lib/two.rb": "", "app/two.rb": "",
+    "web/i.php": """<?php\nuse App\\Models\\User;\nuse function Vendor\\Pkg\\f;\nuse Alone;\nrequire_once 'inc/head.php';\ninclude('../shared/foot.php');\n// use No\\Way;\n""", "src/Models/User.php": "", "web/inc/head.php": "", "x/shared/foot.php": "",
+}
+MORE_WANT = {
+    ("src/app/main.ts", "./util", "src/app/util/index.tsx", None), ("src/app/main.ts", "../lib/x.js", "src/lib/x.ts", None), ("src/app/main.ts", "@/conf", "src/conf.json", None), ("src/app/main.ts", "lodash/fp", None, "lodash"),
+    ("src/app/main.ts", "@scope/pkg/deep", None, "@scope/pkg"), ("src/app/main.ts", "node:fs", None, "fs"), ("src/app/main.ts", "src/lib/lazy", "src/lib/lazy.mjs", None), ("src/app/main.ts", "/top", "top.js", None),
+    ("pkg/mod.py", "os", None, "os"), ("pkg/mod.py", "typing", None, "typing"), ("pkg/mod.py", ".sib", "pkg/sib.py", None), ("pkg/mod.py", ".other", "pkg/__init__.py", None), ("pkg/mod.py", ".", "pkg/__init__.py", None),
+    ("pkg/mod.py", ".sub.deep.name", "pkg/sub/deep.py", None), ("pkg/mod.py", ".sub.deep.second", "pkg/sub/deep.py", None), ("pkg/mod.py", ".sub.deep", "pkg/sub/deep.py", None), ("pkg/mod.py", "pkg.sib.thing", "pkg/sib.py", None), ("pkg/mod.py", "pkg.sib", "pkg/sib.py", None),
+    ("pkg/mod.py", "standalone", "tools/standalone.py", None),
+    ("src/a.c", "b.h", "src/b.h", None), ("src/a.c", "<stdio.h", None, "stdio"), ("src/a.c", "<proj/api.h", "include/proj/api.h", None), ("src/a.c", "<cfg.h", "lib/include/cfg.h", None), ("src/a.c", "../inc/up.h", "inc/up.h", None),
+    ("a/Prog.cs", "System.Text", None, "System"), ("a/Prog.cs", "My.Lib", None, "My"), ("a/Prog.cs", "Other.Thing", None, "Other"), ("a/App.swift", "Core", None, "Core"), ("a/App.swift", "Foundation.Date", None, "Foundation"),
+    ("lib/main.dart", "dart:io", None, "dart:io"), ("lib/main.dart", "package:app/src/w.dart", "lib/src/w.dart", None), ("lib/main.dart", "package:http/http.dart", None, "http"), ("lib/main.dart", "src/w.dart", "lib/src/w.dart", None),
+    ("app/r.rb", "rel:../lib/one", "lib/one.rb", None), ("app/r.rb", "two", "gems/x/lib/two.rb", None), ("app/r.rb", "json/pure", None, "json"), ("app/r.rb", "app/r", "app/r.rb", None),
+    ("web/i.php", "App\\Models\\User", "src/Models/User.php", None), ("web/i.php", "Vendor\\Pkg\\f", None, "Vendor"), ("web/i.php", "inc/head.php", "web/inc/head.php", None), ("web/i.php", "../shared/foot.php", "x/shared/foot.php", None),
+}
+
+
+def test_more_languages(spark):
+    files = spark.createDataFrame(list(MORE.items()), "path string, text string")
+    got = {(r["path"], r["spec"], r["target"], r["lib"]) for r in im.resolve_paths(im.imports_of(files), files).collect()}
+    assert sorted(got - MORE_WANT, key=repr) == [] and sorted(MORE_WANT - got, key=repr) == []
