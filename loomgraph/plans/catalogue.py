@@ -34,6 +34,7 @@ def query(sql: str | None = None):
 
 # ---- SQL that several oracles share ----------------------------------------------------------------------------------
 
+_LIST = "list AS (SELECT doc_id, n_chars * 100 AS size, source || '/' || [" + ", ".join(f"'{x}'" for x in A.FOLDERS) + f"][CAST(doc_id % {len(A.FOLDERS)} AS INTEGER) + 1] || '/f' || CAST(doc_id AS VARCHAR) || [" + ", ".join(f"'{x}'" for x in A.ENDINGS) + f"][CAST(doc_id % {len(A.ENDINGS)} AS INTEGER) + 1] AS path FROM documents)"
 _NODES = """nodes AS (
  SELECT 'dir' AS kind, 'd:' AS key, 'r' AS name, '' AS path, CAST(NULL AS VARCHAR) AS parent_key, CAST(NULL AS VARCHAR) AS file_key
  UNION ALL SELECT 'dir', 'd:' || r_name, r_name, r_name, 'd:', NULL FROM region
@@ -148,6 +149,13 @@ def hidden_by(spark, sf_dir):
     return A.star_nodes(spark, sf_dir).select("key", views.hidden_by().alias("hidden"))
 
 
+@query("WITH " + _LIST + f""" SELECT doc_id, CASE WHEN doc_id % 3 <> 1 AND regexp_matches(path || CASE WHEN doc_id % 3 = 2 THEN '/' ELSE '' END, '(?i){P.TEST_PATTERN}') THEN 'tests' WHEN doc_id % 3 = 1 THEN 'libs' END AS hidden FROM list""")
+def hidden_by_path(spark, sf_dir):
+    """F8 over files, libraries and folders with the names of tests among them."""
+    kind = F.element_at(F.array(*map(F.lit, ["file", "lib", "dir"])), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return A.listing(spark, sf_dir).withColumn("kind", kind).select("doc_id", views.hidden_by().alias("hidden"))
+
+
 # ---- neighbourhoods --------------------------------------------------------------------------------------------------
 
 
@@ -374,7 +382,6 @@ def href_links(spark, sf_dir):
 
 # ---- paths and links -------------------------------------------------------------------------------------------------
 
-_LIST = "list AS (SELECT doc_id, n_chars * 100 AS size, source || '/' || [" + ", ".join(f"'{x}'" for x in A.FOLDERS) + f"][CAST(doc_id % {len(A.FOLDERS)} AS INTEGER) + 1] || '/f' || CAST(doc_id AS VARCHAR) || [" + ", ".join(f"'{x}'" for x in A.ENDINGS) + f"][CAST(doc_id % {len(A.ENDINGS)} AS INTEGER) + 1] AS path FROM documents)"
 _LANGS = "langs(ext, grp) AS (VALUES " + ", ".join(f"('{e}', '{g}')" for g, es in P.EXTENSIONS.items() for e in es.split()) + "), names(name, grp) AS (VALUES " + ", ".join(f"('{n}', '{g}')" for g, ns in P.NAMES.items() for n in ns.split()) + ")"
 _OF = f"""{_LIST}, {_LANGS}, based AS (SELECT *, lower(string_split(path, '/')[-1]) AS base FROM list),
  named AS (SELECT b.*, coalesce(n.grp, l.grp) AS grp FROM based b LEFT JOIN names n ON n.name = base LEFT JOIN langs l ON l.ext = nullif(regexp_extract(base, '^.+\\.([^.]*)$', 1), ''))"""
@@ -420,7 +427,10 @@ def permalink(spark, sf_dir):
     return A.star_nodes(spark, sf_dir).select("key", links.permalink("o", "r", "main", kind, path, F.lit(0), F.lit(1)).alias("url"))
 
 
-@query("""WITH dirs AS (SELECT DISTINCT source AS dir, '' AS parent FROM documents UNION SELECT DISTINCT source || '/' || lang, source FROM documents) SELECT dir, parent FROM dirs""")
+_PATHS = "paths AS (SELECT string_split(source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt', '/') AS p FROM documents)"
+
+
+@query("WITH " + _PATHS + " SELECT DISTINCT array_to_string(p[1:k], '/') AS dir, array_to_string(p[1:k - 1], '/') AS parent FROM paths, range(1, 9) r(k) WHERE k < len(p)")
 def dir_hierarchy(spark, sf_dir):
     return paths_of.folders(A.doc_files(spark, sf_dir))
 
@@ -448,10 +458,14 @@ def longest_prefix(spark, sf_dir):
     return paths_of.longest_prefix(nodes.where("kind = 'file'").select("path").distinct(), nodes.where("kind = 'dir' and path <> ''").select(F.col("path").alias("prefix")))
 
 
-@query(_with(_NODES) + "SELECT 'a/b/' || path AS spec, path AS dir FROM nodes WHERE kind = 'dir' AND path LIKE '%/%'")
+@query(_with(_NODES) + """, dirs AS (SELECT path FROM nodes WHERE kind = 'dir' AND path <> ''), specs AS (SELECT 'a/b/' || path AS spec FROM dirs UNION SELECT path || '/none' FROM dirs UNION SELECT 'q/' || path || '/' || path FROM dirs UNION SELECT name FROM nodes WHERE kind = 'dir'),
+ cut AS (SELECT spec, k, array_to_string(string_split(spec, '/')[k:], '/') AS dir FROM specs, range(1, 12) r(k)) SELECT spec, dir FROM cut WHERE dir IN (SELECT path FROM dirs) QUALIFY row_number() OVER (PARTITION BY spec ORDER BY k) = 1""")
 def dir_match(spark, sf_dir):
-    dirs = A.star_nodes(spark, sf_dir).where("kind = 'dir' and path <> ''")
-    return paths_of.dir_match(dirs.where("path like '%/%'").select(F.concat(F.lit("a/b/"), "path").alias("spec")), dirs.select(F.col("path").alias("dir")))
+    """Specifiers that end with a folder, that end beside one, that hold one twice, and names alone."""
+    folders = A.star_nodes(spark, sf_dir).where("kind = 'dir'").select("path", "name")
+    dirs = folders.where("path <> ''")
+    specs = dirs.select(F.explode(F.array(F.concat(F.lit("a/b/"), "path"), F.concat("path", F.lit("/none")), F.concat(F.lit("q/"), "path", F.lit("/"), "path"))).alias("spec")).unionByName(folders.select(F.col("name").alias("spec"))).distinct()
+    return paths_of.dir_match(specs, dirs.select(F.col("path").alias("dir")))
 
 
 @query(_with(_NODES) + "SELECT key, rel, CASE rel WHEN './x.js' THEN path || '/x.js' WHEN '../y//z' THEN regexp_replace(path, '/?[^/]*$', '') || CASE WHEN path LIKE '%/%' THEN '/' ELSE '' END || 'y/z' WHEN '../../../../q' THEN NULL END AS joined FROM nodes, (SELECT unnest(['./x.js', '../y//z', '../../../../q']) AS rel) r WHERE kind = 'dir' AND path <> ''")
@@ -460,7 +474,7 @@ def path_join(spark, sf_dir):
     return dirs.select("key", "rel", P.path_join(F.col("path"), F.col("rel")).alias("joined"))
 
 
-@query("SELECT min(source) AS root, min(source) = max(source) AS shared FROM documents")
+@query("WITH " + _PATHS + " SELECT min(p[1]) AS root, min(p[1]) = max(p[1]) AND bool_and(len(p) > 1) AS shared FROM paths")
 def shared_root(spark, sf_dir):
     return paths_of.shared_root(A.doc_files(spark, sf_dir))
 
@@ -491,9 +505,9 @@ def cache_hit(spark, sf_dir):
     return caching.cached(saved, saved.where("event_type = 'view'")).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE sha1(props) NOT IN (SELECT sha1(props) FROM events WHERE event_type = 'view')")
+@query("WITH saved AS (SELECT event_id, event_type, sha1(props || CAST(event_id % 4999 AS VARCHAR)) AS sha FROM events) SELECT event_id FROM saved WHERE sha NOT IN (SELECT sha FROM saved WHERE event_type = 'view')")
 def cache_miss(spark, sf_dir):
-    saved = A.read(spark, sf_dir, "events").select("event_id", "event_type", F.sha1("props").alias("sha"))
+    saved = A.read(spark, sf_dir, "events").select("event_id", "event_type", F.sha1(F.concat("props", (F.col("event_id") % 4999).cast("string"))).alias("sha"))
     return caching.missing(saved, saved.where("event_type = 'view'")).select("event_id")
 
 
@@ -660,7 +674,9 @@ def clamped_zoom(spark, sf_dir):
     return _points(spark, sf_dir).select("key", styling.clamped_zoom(F.col("x"), F.lit(0.01)).alias("scale"))
 
 
-@query("""SELECT DISTINCT 'o' || customer.c_nationkey AS owner, 'r' AS repo, CASE WHEN c_nationkey % 2 = 0 THEN 'a/b' ELSE 'a' END AS ref, CASE WHEN c_nationkey % 2 = 0 THEN 'c' ELSE 'b/c' END AS sub, '' AS focus FROM customer""")
+@query("""WITH owners AS (SELECT DISTINCT 'o' || CAST(c_nationkey AS VARCHAR) AS owner, c_nationkey AS n FROM customer), manifest AS (SELECT owner, CASE WHEN n % 2 = 0 THEN 'a/b' ELSE 'a' END AS ref, CASE WHEN n % 2 = 0 THEN 'c' ELSE 'b/c' END AS sub FROM owners),
+ cand AS (SELECT owner, k, array_to_string(p[1:k], '/') AS ref, array_to_string(p[k + 1:], '/') AS sub FROM (SELECT owner, ['a', 'b', 'c'] AS p FROM owners) o, range(1, 7) r(k) WHERE k <= len(p))
+ SELECT owner, 'r' AS repo, ref, sub, '' AS focus FROM cand JOIN manifest USING (owner, ref, sub) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY k) = 1""")
 def known_tree(spark, sf_dir):
     """Even owners have a branch a/b, odd ones a."""
     nation = F.col("c_nationkey")
