@@ -46,8 +46,8 @@ class Part(InputPartition):
 
 
 class FolderReader(DataSourceReader):
-    def __init__(self, address: str, under: str):
-        self.address, self.starts = address, [under] if under else []
+    def __init__(self, address: str, under: str, every: bool = False):
+        self.address, self.starts, self.every = address, [under] if under else [], every
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Filters on path decide which folders are looked into; Spark applies them to rows, too."""
@@ -71,7 +71,7 @@ class FolderReader(DataSourceReader):
         for e in fs.get_file_info(FileSelector(f"{base}/{folder}" if folder else base)):
             path = f"{folder}/{e.base_name}" if folder else e.base_name
             if e.type == FileType.Directory:
-                if entered(e.base_name) and self.may_hold(path) and path.count("/") < DEEPEST:
+                if (self.every or entered(e.base_name)) and self.may_hold(path) and path.count("/") < DEEPEST:
                     folders.append(path)
             elif e.type == FileType.File:
                 files.append((path, e.path, e.size))
@@ -97,7 +97,7 @@ class FolderReader(DataSourceReader):
 
 
 class FolderListing(DataSource):
-    """path (from the root), place and size of the files below a folder, skipped folders apart. Options: path, and under (a beginning of paths)."""
+    """path (from the root), place and size of the files below a folder, skipped folders apart. Options: path, under (a beginning of paths) and every (skipped folders, too)."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,15 +107,15 @@ class FolderListing(DataSource):
         return "path string, place string, size long"
 
     def reader(self, schema) -> FolderReader:
-        return FolderReader(self.options["path"].rstrip("/"), self.options.get("under", ""))
+        return FolderReader(self.options["path"].rstrip("/"), self.options.get("under", ""), self.options.get("every", "false") == "true")
 
 
-def list_folder(spark: SparkSession, folder: str, under: str = "") -> DataFrame:
-    """path, place and size of all files in folders that are looked into; under: only paths that begin so. Sources in Python get filters
+def list_folder(spark: SparkSession, folder: str, under: str = "", every: bool = False) -> DataFrame:
+    """path, place and size of all files in folders that are looked into (every: in all); under: only paths that begin so. Sources in Python get filters
     only where the session says so, which this turns on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FolderListing)
-    found = spark.read.format("folder_listing").option("under", under).load(folder)
+    found = spark.read.format("folder_listing").option("under", under).option("every", str(every).lower()).load(folder)
     return found.where(F.col("path").startswith(under)) if under else found
 
 

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
 from loomgraph.operators import caching, neighborhood, paths, views
@@ -46,6 +47,30 @@ def test_archives(spark, tmp_path):
     assert got["nothing"] == [(None, None, True)]
 
 
+def test_large_archives(spark, tmp_path):
+    """Members of one archive are read by several tasks, from their ranges; a ZIP64 directory; locked and otherwise packed members; archives in folders."""
+    (tmp_path / "build").mkdir()
+    many = [(f"p/f{k}.py", f"x = {k}\n" * (k % 50)) for k in range(400)]
+    (tmp_path / "build" / "many.zip").write_bytes(packed(many))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        with z.open(zipfile.ZipInfo("big.txt"), "w", force_zip64=True) as f:
+            f.write(b"def f")
+        z.writestr("lz.txt", "packed otherwise", zipfile.ZIP_LZMA)
+        z.writestr("locked.txt", "secret")
+    data = bytearray(out.getvalue())
+    at = data.rindex(b"PK\x01\x02")  # the last member's entry: its flag says that it is locked
+    data[at + 8] |= 1
+    (tmp_path / "odd.ZIP").write_bytes(bytes(data))
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    got = archives.read_zips(spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["text"]) for r in got if r["archive"] == "build/many.zip") == sorted((p[2:], t) for p, t in many)
+    assert sorted((r["path"], r["text"], r["failed"]) for r in got if r["archive"] == "odd.ZIP") == [("big.txt", "def f", False), ("locked.txt", None, True), ("lz.txt", None, True)]
+    assert {r["archive"] for r in got} == {"build/many.zip", "odd.ZIP"}
+    plan = archives.read_zips(spark, str(tmp_path))
+    assert plan.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and len({r["p"] for r in plan.select(F.spark_partition_id().alias("p")).collect()}) > 1
+
+
 def test_folders(spark, tmp_path):
     files = {"app/src/main.py": b"x = 1", "app/node_modules/y.js": b"no", "app/.git/z.py": b"no", "app/pic.py": b"a\0b", "app/src/with space+%25.md": b"md", "app/what.zzz": b"no", "app/package-lock.json": b"no"}
     for name, data in files.items():
