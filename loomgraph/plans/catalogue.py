@@ -74,12 +74,18 @@ def _with(body: str) -> str:
 
 def _graph(spark, sf_dir):
     """Nodes and edges, each written once."""
+    nodes, edges = _graph_once(spark, sf_dir)
+    return nodes, cut(edges)
+
+
+def _graph_once(spark, sf_dir):
+    """Nodes, written once, and edges for a single use."""
     nodes = cut(A.star_nodes(spark, sf_dir))
-    return nodes, cut(A.star_edges(spark, sf_dir, nodes))
+    return nodes, A.star_edges(spark, sf_dir, nodes)
 
 
 def _files_view(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph_once(spark, sf_dir)
     return views.view_nodes(nodes, "files"), views.view_edges(nodes, edges, "files")
 
 
@@ -108,7 +114,7 @@ def graph_stats(spark, sf_dir):
 
 @query(_with(_CODE) + "SELECT s, t, type FROM ve")
 def view_code(spark, sf_dir):
-    return views.view_edges(*_graph(spark, sf_dir), "code")
+    return views.view_edges(*_graph_once(spark, sf_dir), "code")
 
 
 @query(_with(_FILES) + "SELECT s, t, type FROM ve")
@@ -118,7 +124,7 @@ def view_files(spark, sf_dir):
 
 @query(_with(_CODE) + "SELECT s, t, type FROM ve WHERE type <> 1 AND s NOT IN (SELECT key FROM nodes WHERE kind = 'variable') AND t NOT IN (SELECT key FROM nodes WHERE kind = 'variable')")
 def view_filtered(spark, sf_dir):
-    return views.view_edges(*_graph(spark, sf_dir), "code", ("vars", "refs"))
+    return views.view_edges(*_graph_once(spark, sf_dir), "code", ("vars", "refs"))
 
 
 @query(_with(_NODES) + "SELECT key FROM nodes WHERE kind = 'lib'")
@@ -129,7 +135,7 @@ def view_fallback(spark, sf_dir):
 
 @query(_with(_CODE + _DEG) + "SELECT key, CAST(deg AS DOUBLE) AS score FROM deg JOIN nodes USING (key) WHERE kind = 'file' ORDER BY deg DESC, key LIMIT 1")
 def default_node_code(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph_once(spark, sf_dir)
     shown = views.view_nodes(nodes, "code")
     return views.default_node(nodes, views.degree(shown, views.view_edges(nodes, edges, "code")), "code")
 
@@ -242,12 +248,12 @@ def search_rank(spark, sf_dir):
 @query(_with(_EDGES) + f"""SELECT section, key, weak, rn, total FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY first, name, key) AS rn, count(*) OVER (PARTITION BY section) AS total FROM (
  SELECT 'used_by' AS section, s AS key, type = 1 AS weak, CASE type WHEN 1 THEN 1 ELSE 0 END AS first, name FROM edges JOIN nodes ON key = s WHERE t = '{LIB}' AND type <> 2) x) y WHERE rn <= 150""")
 def details_lists(spark, sf_dir):
-    return lookup.details(*_graph(spark, sf_dir), LIB)
+    return lookup.details(*_graph_once(spark, sf_dir), LIB)
 
 
 @query(_with(_EDGES) + f"""SELECT 'children' AS section, key, FALSE AS weak, row_number() OVER (ORDER BY CASE kind WHEN 'dir' THEN 0 ELSE 1 END, name, key) AS rn, count(*) OVER () AS total FROM edges JOIN nodes ON key = t WHERE s = '{START}'""")
 def details_children(spark, sf_dir):
-    return lookup.details(*_graph(spark, sf_dir), START)
+    return lookup.details(*_graph_once(spark, sf_dir), START)
 
 
 @query(_with(_EDGES) + """SELECT key, count(e.s) AS n FROM nodes LEFT JOIN edges e ON CASE WHEN kind IN ('lib', 'keyword') THEN e.t = key ELSE e.s = key AND (kind = 'dir' OR type = 2) END WHERE kind IN ('lib', 'keyword', 'dir', 'file') AND kind IN ('lib', 'dir') GROUP BY key
@@ -915,4 +921,4 @@ def jvm_targets(spark, sf_dir):
  SELECT name, key FROM near JOIN nodes USING (key) WHERE kind NOT IN ('file', 'dir') QUALIFY row_number() OVER (PARTITION BY name ORDER BY place, weak AND place < 2, key) = 1""")
 def name_links(spark, sf_dir):
     """What the names in a symbol's code link to."""
-    return packages.name_links(*_graph(spark, sf_dir), "s:7")
+    return packages.name_links(*_graph_once(spark, sf_dir), "s:7")
