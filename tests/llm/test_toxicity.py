@@ -79,6 +79,7 @@ def test_held_out_accuracy(spark):
     for kind in (1, 0):
         rate = lambda lang: np.mean([score[i] >= 0.5 for i, (x, k, _) in toxic.items() if k == kind and lang in (x, "")])  # noqa: B023, E731
         assert rate("") >= 0.9 if kind else all(rate(lang) <= 0.05 for lang in ("en", "de", "fr", "es"))
+        assert not kind or all(rate(lang) >= 0.85 for lang in ("en", "de", "fr", "es"))
     insults = ["idiot", "worthless", "pathetic", "disgusting", "stupid"]
     clean = [x for lang, k, x in toxic.values() if lang == "en" and not k and 20 < len(x.split()) < 120][:40]
     for change in (lambda w: ".".join(w), lambda w: w[:2] + "-" + w[2:], lambda w: " ".join(w), lambda w: w[:3] + "x" + w[3:], lambda w: w[:2] + "*q" + w[2:]):
