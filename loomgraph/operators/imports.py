@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.imports import import_specs
 from loomgraph.functions.paths import language_of, path_join, suffixes
+from loomgraph.operators._store import cut
 from loomgraph.operators.paths import closest
 from loomgraph.operators.views import DEP, REF
 
@@ -135,10 +136,11 @@ def resolve_paths(imports: DataFrame, paths: DataFrame) -> DataFrame:
     ways = {EXACT: F.col("ahead") == "", SUFFIX: F.lit(True), HEADER: F.col("ahead").rlike("^$|(^|/)(include|inc)/$"), LIBRARY: F.col("ahead").rlike("^$|(^|/)lib/$"), TOP: F.col("inner").isNull()}
     ends = ends.select("path", "want", F.explode(F.array_compact(F.array(*(F.when(test, how) for how, test in ways.items())))).alias("how"))
     met = options.join(ends.select("how", "want").distinct(), ["how", "want"])
-    first = met.groupBy("path", "grp", "spec").agg(F.min(F.struct("nth", "how", "want")).alias("m")).select("path", "grp", "spec", "m.how", "m.want")
+    # what the sorted joins take is written, as they read it twice
+    first = cut(met.groupBy("path", "grp", "spec").agg(F.min(F.struct("nth", "how", "want")).alias("m")).select("path", "grp", "spec", "m.how", "m.want"))
     key = F.concat(F.col("how").cast("string"), F.lit(":"), "want").alias("grp")
     near = first.where(F.col("how") != EXACT).select(key, F.col("path").alias("at")).distinct()
-    known = ends.where(F.col("how") != EXACT).select(key, F.col("path").alias("at")).join(near.select("grp").distinct(), "grp", "left_semi")
+    known = cut(ends.where(F.col("how") != EXACT).select(key, F.col("path").alias("at")).join(near.select("grp").distinct(), "grp", "left_semi"))
     picked = closest(known, near).select(F.col("at").alias("path"), F.col("grp").alias("key"), "match")
     found = first.withColumn("key", F.concat(F.col("how").cast("string"), F.lit(":"), "want")).join(picked, ["path", "key"], "left").select("path", "grp", "spec", F.coalesce("match", "want").alias("target"))
     every = asked.join(found, ["path", "grp", "spec"], "left").withColumn("lib", F.when(F.col("target").isNull(), library(F.col("grp"), F.col("spec"))))

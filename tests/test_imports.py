@@ -120,3 +120,11 @@ def test_more_languages(spark):
     files = spark.createDataFrame(list(MORE.items()), "path string, text string")
     got = {(r["path"], r["spec"], r["target"], r["lib"]) for r in im.resolve_paths(im.imports_of(files), files).collect()}
     assert sorted(got - MORE_WANT, key=repr) == [] and sorted(MORE_WANT - got, key=repr) == []
+
+
+def test_candidates_are_made_once(spark):
+    """The rows that the sorted joins read twice are written, so the result's own plan makes no candidates any more."""
+    asked = spark.createDataFrame([("a/x.lua", "lua", "m"), ("b/x.lua", "lua", "m")], "path string, grp string, spec string")
+    found = im.resolve_paths(asked, spark.createDataFrame([("a/m.lua",), ("b/m.lua",), ("a/x.lua",)], "path string"))
+    assert sorted((r["path"], r["target"]) for r in found.collect()) == [("a/x.lua", "a/m.lua"), ("b/x.lua", "b/m.lua")]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
