@@ -9,6 +9,8 @@ from loomgraph.functions.paths import is_test
 
 REF, CONTAIN, DEP = 1, 2, 3
 STRUCT = ("dir", "file", "lib")
+#: Kinds that very many edges may end in, and how many of their nodes are handed on to the edges.
+HUBS, MOST_HUBS = ("lib", "keyword"), 10_000
 #: Fixed: what counts as minor follows the kinds of files that repositories use.
 MINOR = r"(?i)(^|/)(tests?|__tests__|spec|specs|examples?|docs?|benchmarks?|fixtures?|scripts?)/|[._-](test|spec)s?\.|^test_|\.(md|json|ya?ml|toml|txt|html?|css)$"
 
@@ -54,14 +56,21 @@ def view_edges(nodes: DataFrame, edges: DataFrame, view: str, hide: tuple[str, .
     """s, t and the strongest type between nodes that the view shows. The files view lifts links to their files; edges to
     keywords belong to the words view alone; hiding refs doesn't touch the words view.
 
-    A node knows whether it, and with the same path its file, is shown; so two joins and one grouping do."""
-    struct = F.col("kind").isin(*STRUCT)
-    key = F.when(struct, F.col("key")).otherwise(F.col("file_key")) if view == "files" else F.col("key")
-    lifted = F.when(struct, F.col("_shown")).otherwise(F.col("_open") & F.col("file_key").isNotNull()) if view == "files" else F.col("_shown")
-    info = _flagged(nodes, view, hide).select(F.col("key").alias("_k"), key.alias("_as"), lifted.alias("_there"), F.col("_shown"), (F.col("kind") == "keyword").alias("_word"))
+    A node knows whether it, and with the same path its file, is shown; so two joins and one grouping do. Where nothing is lifted they only ask whether the ends are
+    shown. Libraries and keywords, which very many edges may end in, are met first and where the edges are; the join by s comes last, and the grouping stays in its parts."""
+    flagged = _flagged(nodes, view, hide)
     e = edges.where(F.col("type") != REF) if "refs" in hide and view != "words" else edges
-    end = lambda x: info.select(F.col("_k").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("_as", "_there", "_shown", "_word")))
-    e = e.join(end("s"), "s").join(end("t"), "t").where("t_word" if view == "words" else "not t_word")
+    word = F.col("kind") == "keyword"
+    if view != "files":
+        shown = flagged.where("_shown")
+        e = _met(e, shown.where(word if view == "words" else ~word).select(F.col("key").alias("t"), "kind"), "left_semi")
+        return e.join(shown.select(F.col("key").alias("s")), "s", "left_semi").where("s <> t").groupBy("s", "t").agg(F.max("type").alias("type"))
+    struct = F.col("kind").isin(*STRUCT)
+    key = F.when(struct, F.col("key")).otherwise(F.col("file_key"))
+    lifted = F.when(struct, F.col("_shown")).otherwise(F.col("_open") & F.col("file_key").isNotNull())
+    info = flagged.select(F.col("key").alias("_k"), key.alias("_as"), lifted.alias("_there"), "_shown", "kind").where("_shown or _there")
+    end = lambda x, df: df.select(F.col("_k").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("_as", "_there", "_shown")), "kind")
+    e = _met(e, end("t", info.where(~word)), "inner").join(end("s", info).drop("kind"), "s")
     own = F.col("type") == CONTAIN  # containment isn't lifted
     for x in ("s", "t"):
         e = e.where(F.when(own, F.col(f"{x}_shown")).otherwise(F.col(f"{x}_there")))
@@ -69,6 +78,15 @@ def view_edges(nodes: DataFrame, edges: DataFrame, view: str, hide: tuple[str, .
     return e.where("s <> t").groupBy("s", "t").agg(F.max("type").alias("type"))
 
 
+def _met(edges: DataFrame, ends: DataFrame, how: str) -> DataFrame:
+    """edges joined with their ends (t, kind, ...) by t: a bounded number of hubs goes to the edges, so those of a hub don't meet in one task; the rest meets as usual."""
+    hub = F.col("kind").isin(*HUBS)
+    few = ends.where(hub).orderBy("t").limit(MOST_HUBS).drop("kind")
+    rest = ends.join(F.broadcast(few.select("t")), "t", "left_anti").drop("kind")
+    others = edges.join(F.broadcast(few.select("t")), "t", "left_anti")
+    return edges.join(F.broadcast(few), "t", how).unionByName(others.join(rest, "t", how))
+
+
 def reveal(nodes: DataFrame, view: str, hide: tuple[str, ...] = ()) -> DataFrame:
     """key, view, toggle and view_key of every node: where it is to be seen from a view with hidden toggles. A node that is shown stays; else the toggle that
     hides it is lifted in the view of its kind, or that view is taken; a node that its own view leaves out is its file there, if that is shown."""

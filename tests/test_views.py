@@ -1,6 +1,7 @@
 """Toggles, the way to a hidden node, and searches with a budget, by hand."""
 
 from loomgraph.operators import neighborhood, views
+from loomgraph.plans import adapters
 
 NODES = [
     ("d:", "dir", "r", "", None), ("d:tests", "dir", "tests", "tests", None), ("f:a", "file", "a.py", "src/a.py", "f:a"), ("f:t", "file", "t.py", "tests/t.py", "f:t"),
@@ -25,6 +26,23 @@ def test_edges(spark):
     assert edges(spark, "words") == edges(spark, "words", ("refs",)) == {("f:a", "k:w"): 1}
 
 
+def test_hubs_are_met_where_edges_are(spark, monkeypatch):
+    """Links into libraries don't meet by library, whether all or only some of them are handed on; the grouping stays with the join by s."""
+    want = [edges(spark, *how) for how in (("code", ("refs",)), ("files",), ("words",))]
+    for most in (0, 1):
+        monkeypatch.setattr(views, "MOST_HUBS", most)
+        assert [edges(spark, *how) for how in (("code", ("refs",)), ("files",), ("words",))] == want
+    for view in ("code", "files", "words"):
+        joins = [line for line in views.view_edges(*tables(spark), view)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "rightHint=(strategy=broadcast)" in line]
+        assert any("LeftAnti, (t#" in line for line in joins)
+
+
+def test_lines_travel_once(spark, sf):
+    """Order lines aren't grouped ahead of their way to their order, nor sent on after it."""
+    plan = adapters.star_edges(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(l_orderkey#" in plan and not any("p_brand" in line for line in plan.split("\n") if "hashpartitioning(l_orderkey" in line)
+
+
 def test_everything_hidden(spark):
     """Where the toggles would hide all of a view, none of them counts, and the plan needs no job to know."""
     nodes, made = tables(spark)
