@@ -49,3 +49,21 @@ def test_little_travels(spark):
     found = keywords.mentions(files, tops)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2  # the vocabulary, and the words asked for
     assert found.count() == 90 and {r["line"] for r in found.collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_shared_keys(spark, monkeypatch, most):
+    """Where a few files share a doc_id, only their words travel to be added up; where too many do, all; the counts are the same."""
+    monkeypatch.setattr(keywords, "SHARED", most)
+    rows = [(k, t) for k, t in enumerate(TEXTS * 3)] + [(None, "cats dogs"), (None, "cat birds"), (3, "parse cats"), (0, None), (7, "zzz zzz")]
+    files = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n, single = keywords.sizes(files)
+    assert (n, single) == (len(rows), False)
+    want = walk(rows)
+    counts, dfs, some = keywords.term_counts(files), keywords.document_counts(files), ["cat", "zzz"]
+    for df in (counts, dfs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("LeftAnti"), plan.count("LeftSemi")) == ((1, 1) if most > 4 else (0, 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["word"], r["c"]) for r in counts.collect()) == sorted((d is None, d, w, c) for (d, w), c in want.items())
+    assert sorted(map(tuple, dfs.collect())) == sorted(Counter(w for _, w in want).items())
+    assert {(r["doc_id"], r["word"]): r["c"] for r in keywords.term_counts(files, words=some).collect()} == {k: c for k, c in want.items() if k[1] in some}
