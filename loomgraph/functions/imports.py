@@ -35,8 +35,6 @@ OVER = {
     "c": [_BLOCK, _LINE, _QUOTED], "cs": [_BLOCK, _LINE, _QUOTED], "swift": [_TRIPLE, _BLOCK, _LINE, _QUOTED], "dart": [_TRIPLE, _BLOCK, _LINE, _QUOTED, _APOSTROPHES],
     "rb": [r"=begin(?:[\s\S]*?=end|[\s\S]*)", r"#[^\n]*", _QUOTED, _APOSTROPHES], "php": [_BLOCK, _LINE, r"#[^\n]*", _QUOTED, _APOSTROPHES],
     "lua": [r"--\[\[(?:[\s\S]*?\]\]|[\s\S]*)", r"--[^\n]*", _QUOTED, _APOSTROPHES], "sh": [r"(?:^|\s)#[^\n]*", _QUOTED, _APOSTROPHES]}
-#: Fixed: names of one `from` that are looked at.
-MOST_NAMES = 6
 
 
 def pattern(group: str, k: int = 0, over: bool = True) -> str:
@@ -52,7 +50,7 @@ def _written(group: str, k: int, found: Column) -> Column:
         def each(x):
             module = F.regexp_extract(x, r"^\.*[\w.]*", 0)
             names = F.regexp_replace(F.regexp_replace(x, r"^\.*[\w.]*[ \t]+import", ""), r"#[^\n]*|[()]", " ")
-            known = F.slice(F.filter(F.split(names, r"[,\s\\]+"), lambda n: n.rlike(r"^\w+$") & (n != "as")), 1, MOST_NAMES)
+            known = F.filter(F.split(names, r"[,\s\\]+"), lambda n: n.rlike(r"^\w+$") & (n != "as"))
             dot = F.when(module.endswith("."), "").otherwise(".")
             return F.concat(F.transform(known, lambda n: F.concat(module, dot, n)), F.array(module))
 

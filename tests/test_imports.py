@@ -128,3 +128,11 @@ def test_candidates_are_made_once(spark):
     found = im.resolve_paths(asked, spark.createDataFrame([("a/m.lua",), ("b/m.lua",), ("a/x.lua",)], "path string"))
     assert sorted((r["path"], r["target"]) for r in found.collect()) == [("a/x.lua", "a/m.lua"), ("b/x.lua", "b/m.lua")]
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_names_of_a_from(spark):
+    """Python's `from` leads to as many modules as it names."""
+    names = [f"m{k}" for k in range(9)]
+    files = spark.createDataFrame([("pkg/a.py", "from . import " + ", ".join(names)), *((f"pkg/{n}.py", "") for n in names), ("pkg/__init__.py", "")], "path string, text string")
+    edges = {(r["s"], r["t"]) for r in im.import_edges(im.resolve_paths(im.imports_of(files), files)).collect()}
+    assert edges == {("f:pkg/a.py", f"f:pkg/{n}.py") for n in [*names, "__init__"]}
