@@ -67,3 +67,19 @@ def test_shared_keys(spark, monkeypatch, most):
     assert sorted((r["doc_id"] is None, r["doc_id"], r["word"], r["c"]) for r in counts.collect()) == sorted((d is None, d, w, c) for (d, w), c in want.items())
     assert sorted(map(tuple, dfs.collect())) == sorted(Counter(w for _, w in want).items())
     assert {(r["doc_id"], r["word"]): r["c"] for r in keywords.term_counts(files, words=some).collect()} == {k: c for k, c in want.items() if k[1] in some}
+
+
+@pytest.mark.parametrize("shared", [100, 0])
+def test_all_mentions(spark, monkeypatch, shared):
+    """A word's mentions in all of its files, also where files share a doc_id, a few or too many; texts of other files don't travel."""
+    monkeypatch.setattr(keywords, "SHARED", shared)
+    rows = [(k, f"first\n  says Common{'abc'[k % 3]} and\r\nrare{chr(97 + k // 26)}{chr(97 + k % 26)}x often") for k in range(300)]
+    files = spark.createDataFrame(rows, "doc_id long, text string")
+    single = keywords.all_mentions(files, 300, True)
+    want = {(f"common{'abc'[k % 3]}", k, 1, f"says Common{'abc'[k % 3]} and") for k, _ in rows}
+    got = [tuple(r) for r in single.collect()]
+    assert len(got) == 300 and set(got) == want
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([*rows, (5, "COMMONA"), (5, None), (None, "commona")], "doc_id long, text string")
+    got = [tuple(r) for r in keywords.all_mentions(files, 303).collect()]
+    assert sorted(got) == sorted([*want, ("commona", 5, 0, "COMMONA")])
